@@ -67,8 +67,8 @@ def fit(texts: list[str], langs: list[str], clusters: int = 4, rounds: int = 8,
     pairs = [(c, g) for c, g in zip(map(counts, texts), langs) if c is not None]
     if not pairs:
         return Centroids(np.ones(DIMS), np.zeros((0, DIMS)), [], np.zeros(0))
-    raw = np.stack([c for c, _ in pairs])
-    idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1
+    raw = np.stack([c for c, _ in pairs]).astype(np.float32)
+    idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
     x = np.log1p(raw) * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rng, centres, names, floors = np.random.default_rng(seed), [], [], []
@@ -86,11 +86,16 @@ def fit(texts: list[str], langs: list[str], clusters: int = 4, rounds: int = 8,
     return Centroids(idf, np.stack(centres), names, np.array(floors))
 
 
-def train(docs: DataFrame, usable: Column, sample: int = 3000, head: int = 4000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Centroids:
-    """Fit on the ``sample`` usable labelled rows that come first by a hash of their id."""
+def train(docs: DataFrame, usable: Column, sample: int = 1500, head: int = 3000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Centroids:
+    """Fit on at most ``sample`` usable labelled rows, those that come first by a hash of their id.
+
+    A threshold on the hash leaves about twice that many before they are ordered, so that little is sent."""
+    h, space = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40)), 1 << 40
+    good = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    below = space * min(1.0, 2 * sample / max(1, good.count()))
     rows = (
-        docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-        .select(F.xxhash64(F.col(id_col)).alias("h"), F.substring(F.col(text_col), 1, head).alias("t"), F.col(lang_col).cast("string").alias("g"))
+        good.where(h <= F.lit(int(below)))
+        .select(h.alias("h"), F.substring(F.col(text_col), 1, head).alias("t"), F.col(lang_col).cast("string").alias("g"))
         .orderBy("h", "t", "g")
         .limit(sample)
         .collect()
