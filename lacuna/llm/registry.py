@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language_id, sentencepiece_codec, url_filter
+from . import exact_dedup, fingerprints, language_id, sentencepiece_codec, suffix_dedup, url_filter
 
 QUERIES = {
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_language_id": language_id.op8_language_id,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
