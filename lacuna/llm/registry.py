@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language_id, sentencepiece_codec, suffix_dedup, url_filter
+from . import exact_dedup, fingerprints, language_id, ngram_join, sentencepiece_codec, suffix_dedup, url_filter
 
 QUERIES = {
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op5_sentencepiece": sentencepiece_codec.op5_sentencepiece,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 SQL = {
+    "op2_ngram_jaccard": ngram_join.SQL,
     "op6_url_filter": url_filter.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
