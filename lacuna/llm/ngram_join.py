@@ -24,16 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, release, table
+from .common import discard, materialise, partitions, release, table
 
 _U = np.uint64
 _WORD = re.compile(rb"[^ \t-\r]+").findall
 _MUL = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 LOWEST = -(1 << 63)
+#: Blocks of at most so many members are traversed whole in the first round and not again in the second.
+SMALL = 8
 
 
 class Shingler:
@@ -48,7 +51,7 @@ class Shingler:
             known.clear()
         for w in set(words):
             if w not in known:
-                known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+                known[w] = xxhash.xxh3_64_intdigest(w)
         h = np.array([known[w] for w in words], _U)
         n = min(self.width, len(words))
         if not n:
@@ -67,8 +70,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """8 to 16 bits for each hash; shorter signatures are folded longer ones."""
-    m = 64 << max(0, (8 * len(hashes) - 1).bit_length() - 6)
+    """4 to 8 bits for each hash; shorter signatures are folded longer ones."""
+    m = 64 << max(0, (4 * len(hashes) - 1).bit_length() - 6)
     bits = np.zeros(m, np.uint8)
     bits[(hashes & _U(m - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(_U)
@@ -152,7 +155,7 @@ def block_pairs(nodes: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], lo
         bits = np.stack([maps[i] for i in own])
         if comps is None:
             idle = 0
-            while len(own) > 2 and idle < 4:
+            while len(own) > SMALL and idle < 4:
                 k = int(np.argmin(nodes[own]))
                 leaf = (bits, sizes[own], sizes[own], sizes[own] - ones(bits), own, own)
                 hit = may_link(leaf, np.full(len(own), k), leaf, np.arange(len(own)), percent, True)
@@ -188,6 +191,10 @@ def components(links: DataFrame) -> DataFrame:
     """(node, comp): smallest node of each connected component, by alternating large and small stars. Nodes
     without links are absent."""
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
+    # a link between two nodes that have the same least neighbour adds nothing to theirs
+    nearest = edges.groupBy("u").agg(F.min("v").alias("m"))
+    edges = edges.join(nearest, "u").join(nearest.select(F.col("u").alias("v"), F.col("m").alias("k")), "v", "left")
+    edges = materialise(edges.where("v = m or k is null or k != m").select("u", "v"), "stars")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -233,6 +240,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     nodes = materialise(nodes, "nodes")
     one = signed.join(nodes.select("node", "id"), ["node", "id"]).dropDuplicates(["node"])
     one = materialise(one.select("node", "n", "prefix", "bits"), "classes")
+    light = materialise(signed.select("id", "n", "node"), "sizes")
+    discard(signed)
     release(spark)
 
     entries = one.select("node", F.explode("prefix").alias("key"))
@@ -255,7 +264,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         mine, known = member, comps is not None
         if comps is not None:
             mine = member.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            open_ = mine.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("block")
+            open_ = mine.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("members")).where((F.col("x") != F.col("y")) & (F.col("members") > SMALL)).select("block")
             mine = mine.join(open_, "block")
         else:
             mine = mine.withColumn("comp", F.lit(0).cast("long"))
@@ -347,7 +356,6 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     least = out.groupBy("comp").agg(F.min("least").alias("component_id"))
     of = materialise(out.join(least, "comp").select("node", "component_id"), "classes")
     own = F.when(F.col("id") != LOWEST, F.col("id"))
-    light = signed.select("id", "n", "node")
     return (
         light.where("n > 0").join(of, "node").select(own.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
         .unionByName(light.where("n = 0").select(own.alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), own.alias("component_id")))
