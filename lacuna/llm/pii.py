@@ -78,6 +78,10 @@ def said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["ord"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def of_kind(ordinal: int):
+    return lambda s: s["ord"] == ordinal
+
+
 def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 3, confidence: float = 0.6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone (of all spans), base_sha256, spans, n_added.
 
@@ -118,7 +122,7 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, support: int = 3, confi
     out = out.withColumn("all", F.array_sort(F.concat("base", "added")))
     return out.select(
         "doc_id",
-        *[F.size(F.filter("all", lambda s, i=i: s["ord"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        *[F.size(F.filter("all", of_kind(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(said(F.col("base")), 256).alias("base_sha256"),
         said(F.col("all")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),

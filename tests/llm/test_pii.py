@@ -31,7 +31,7 @@ def test_base_against_brute_force(spark):
     rng = random.Random(11)
     bits = ["a.b@c.d", "@", "é", "🙂", "+1 (017) 555-0199", "1.2.3.4", "256.1.1.1", "007.0255.1.9", "4111 1111 1111 1111", "4111-1111-1111-1112", " ", "-", ".", "+", "12", "x_y@z-.co.uk.", "1.2.3.4.5", "%", "(", "3782 822463 10005", "\n"]
     rows = [(i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))) for i in range(200)]
-    rows += [(900, None), (901, ""), (902, "a" * 200_000), (903, "1" * 100_000), (904, "1.2." * 600), (905, "a." * 50_000 + "@b"), (906, "x@" + "b." * 20_000 + "c"), (907, "+" + "1 " * 50_000)]
+    rows += [(900, None), (901, ""), (902, "a" * 1_500), (903, "1" * 1_500), (904, "1.2." * 600), (905, "a." * 700 + "@b"), (906, "x@" + "b." * 700 + "c"), (907, "+" + "1 " * 700)]
     rows += [(1, rows[1][1]), (None, "q a@b.c")]
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, base string, id int").repartition(4)
     want = sorted(((d if d is not None else -1), hashlib.sha256(brute(t or "").encode()).hexdigest()) for d, t in rows)
@@ -46,3 +46,9 @@ def test_contexts_discover_unseen_identifiers(spark):
     got = {r.doc_id: r for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[20].spans == "phone:12:22" and got[20].n_phone == 1 and got[20].n_added == 1
     assert got[21].spans == "" and got[22].n_added == 0 and got[3].n_added == 0
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "a" * 200_000), (2, "a." * 50_000 + "@b"), (3, "x@" + "b." * 20_000 + "c"), (4, "1" * 100_000), (5, "+" + "1 " * 50_000)]
+    got = {r.doc_id: r.spans for r in find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "", 3: "email:0:40003", 4: "", 5: ""}
