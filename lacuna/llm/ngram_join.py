@@ -36,7 +36,7 @@ _MUL = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 LOWEST = -(1 << 63)
 #: Blocks of at most so many members are traversed whole in the first round and not again in the second.
-SMALL = 8
+SMALL = 2
 
 
 class Shingler:
