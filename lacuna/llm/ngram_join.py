@@ -313,7 +313,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
                 yield from run(pd.concat(held))
 
         full = mine.join(one.select("node", "n", F.col("prefix")[0].alias("low"), "bits"), "node")
-        return full.repartition(parts, "block").sortWithinPartitions("block", "node").mapInPandas(search, "a long, b long").distinct()
+        # dealt by a hash of the block: a plain repartition by block is optimised away above a join on block, and
+        # adaptive plans may then deal a block's rows to several tasks
+        return full.repartition(parts, F.xxhash64("block")).sortWithinPartitions("block", "node").mapInPandas(search, "a long, b long").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
