@@ -8,6 +8,8 @@
 2. In a block, signature trees (one per signature length) hold in each node the OR of its members'
    bitmaps, the range of their sizes and their largest slack (hashes less bits). A dual traversal drops
    pairs of nodes whose largest possible overlap is below what their sizes ask for.
+   A pair that meets in several blocks is given by the first of them: every member carries its smallest
+   block keys, and a block holds back a pair whose lists share a smaller key than the block's own.
 3. Candidate pairs are verified on the full sets. A first round takes only the pairs that a block's members
    form with leaders, which joins large groups of near copies by about one pair a member. The second round
    traverses the blocks that still hold several components, skips nodes that lie within one component, and
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, partitions, release, table
@@ -35,6 +37,8 @@ _WORD = re.compile(rb"[^ \t-\r]+").findall
 _MUL = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 LOWEST = -(1 << 63)
+#: So many of its smallest block keys a member carries; more would hold back a few more repeated pairs.
+CARRIED = 32
 #: Blocks of at most so many members are traversed whole in the first round and not again in the second.
 SMALL = 2
 
@@ -145,9 +149,36 @@ def dual(x: Tree, y: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarra
     yield from down(top, np.zeros(1, np.int64), np.zeros(1, np.int64))
 
 
-def block_pairs(nodes: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], lows: np.ndarray, comps: np.ndarray | None, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def not_earlier(key: int, keys: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs of members share no carried key below the block's own. Pairs are told apart by a matrix of
+    the distinct smaller keys, some pairs at a time."""
+    below = [k[k < key] for k in keys]
+    used, code = np.unique(np.concatenate(below), return_inverse=True)
+    if not len(used):
+        return np.ones(len(i), bool)
+    wide = max(map(len, below))
+    of = np.full((len(below), wide), -1, np.int64)
+    at = 0
+    for r, k in enumerate(below):
+        of[r, : len(k)] = code[at : at + len(k)]
+        at += len(k)
+    out = np.ones(len(i), bool)
+    step = max(1, (1 << 22) // (wide * wide))
+    for a in range(0, len(i), step):
+        x, y = of[i[a : a + step]], of[j[a : a + step]]
+        out[a : a + step] = ~((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any(axis=(1, 2))
+    return out
+
+
+def block_pairs(nodes: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], lows: np.ndarray, comps: np.ndarray | None, percent: int, key: int = LOWEST, keys: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Candidate pairs of a block's members, as row numbers. Without components (first round) leaders are
     tried first: while they gather many, what they gather takes part in no other pair."""
+
+    def first(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ok = not_earlier(key, keys, i, j) if keys is not None else np.ones(len(i), bool)
+        if ok.any():
+            yield i[ok], j[ok]
+
     length = np.array([len(m) for m in maps])
     apart = comps if comps is not None else np.arange(len(nodes))
     for n in np.unique(length):
@@ -177,14 +208,14 @@ def block_pairs(nodes: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], lo
                 continue
         t = Tree(bits, sizes[own], apart[own], lows[own])
         for i, j in dual(t, t, percent):
-            yield own[i], own[j]
+            yield from first(own[i], own[j])
     for n in np.unique(length):
         a, b = np.flatnonzero(length == n), np.flatnonzero(length == 2 * n)
         if len(b):
             small = Tree(np.stack([maps[i] for i in a]), sizes[a], apart[a], lows[a])
             large = Tree(np.stack([maps[i][:n] | maps[i][n:] for i in b]), sizes[b], apart[b], lows[b])
             for i, j in dual(small, large, percent):
-                yield a[i], b[j]
+                yield from first(a[i], b[j])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -248,7 +279,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     blocks = entries.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("members > 1")
     # blocks of the same members are one
     blocks = blocks.groupBy("members", "who").agg(F.min("key").alias("key")).select("key", "members")
-    member = entries.join(materialise(blocks, "blocks"), "key").join(one.select("node", "n"), "node")
+    member = materialise(entries.join(materialise(blocks, "blocks"), "key"), "entries")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("key"))
+    carried = member.withColumn("r", rank).where(F.col("r") <= CARRIED).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    carried = materialise(one.select("node", "n", F.col("prefix")[0].alias("low"), "bits").join(carried, "node"), "carried")
+    member = member.join(one.select("node", "n"), "node")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(percent / 100)) * 1.0001))
     grid = F.ceil(F.col("members") / F.lit(hot)).cast("int")
     part = F.pmod(F.xxhash64("node"), grid).cast("int")
@@ -256,7 +291,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     whole = F.array(F.struct(F.lit(-1).cast("long").alias("band"), F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))).alias("cells")))
     cut = F.transform(F.array(band, band + 1), lambda x: F.struct(x.alias("band"), cells.alias("cells")))
     member = member.withColumn("bands", F.when(F.col("members") > hot, cut).otherwise(whole))
-    member = member.select("key", "node", F.explode("bands").alias("x")).select("key", "node", "x.band", F.explode("x.cells").alias("c")).select(F.xxhash64("key", "band", "c.i", "c.j").alias("block"), "node")
+    member = member.select("key", "node", F.explode("bands").alias("x")).select("key", "node", "x.band", F.explode("x.cells").alias("c")).select(F.xxhash64("key", "band", "c.i", "c.j").alias("block"), "node", "key")
     member = materialise(member, "members")
     release(spark)
 
@@ -275,13 +310,14 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
             def run(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
                 block = b["block"].to_numpy()
                 node, n, low, comp, bits = b["node"].to_numpy(), b["n"].to_numpy(np.int64), b["low"].to_numpy(), b["comp"].to_numpy(), b["bits"].tolist()
+                key, keys = b["key"].to_numpy(), b["keys"].tolist()
                 edge = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(b)]])
                 out: list[np.ndarray] = []
                 for s, e in zip(edge[:-1], edge[1:]):
                     if e - s < 2:
                         continue
                     maps = [np.frombuffer(x, _U) for x in bits[s:e]]
-                    for i, j in block_pairs(node[s:e], n[s:e], maps, low[s:e], comp[s:e] if known else None, percent):
+                    for i, j in block_pairs(node[s:e], n[s:e], maps, low[s:e], comp[s:e] if known else None, percent, int(key[s]), keys[s:e]):
                         out.append(np.stack([node[s:e][i], node[s:e][j]], axis=1))
                     if sum(map(len, out)) > 50_000:
                         p = np.unique(np.sort(np.concatenate(out), axis=1), axis=0)
@@ -312,7 +348,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
             if held:
                 yield from run(pd.concat(held))
 
-        full = mine.join(one.select("node", "n", F.col("prefix")[0].alias("low"), "bits"), "node")
+        full = mine.join(carried, "node")
         # dealt by a hash of the block: a plain repartition by block is optimised away above a join on block, and
         # adaptive plans may then deal a block's rows to several tasks
         return full.repartition(parts, F.xxhash64("block")).sortWithinPartitions("block", "node").mapInPandas(search, "a long, b long").distinct()

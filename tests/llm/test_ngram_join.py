@@ -2,7 +2,7 @@ import random
 import re
 
 import numpy as np
-from lacuna.llm.ngram_join import Tree, bitmap, block_pairs, jaccard_components
+from lacuna.llm.ngram_join import Tree, bitmap, block_pairs, jaccard_components, not_earlier
 
 
 def brute(rows, width=4):
@@ -69,3 +69,12 @@ def test_traversal_loses_no_pair():
     links = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 85 * (n[i] + n[j] - k)}
     assert links <= found and len(found) < 3 * len(links)
     assert len(Tree(np.stack([m[:1] for m in maps]), n, n, n).levels) == 4
+
+
+def test_pairs_are_held_back_only_where_a_smaller_key_is_shared():
+    rng = np.random.default_rng(5)
+    keys = [np.unique(rng.integers(-40, 40, rng.integers(1, 9))) for _ in range(30)]
+    i, j = np.triu_indices(30, 1)
+    for key in (-41, -3, 0, 17, 40):
+        want = [not any(k < key for k in set(keys[a].tolist()) & set(keys[b].tolist())) for a, b in zip(i, j)]
+        assert not_earlier(key, keys, i, j).tolist() == want
