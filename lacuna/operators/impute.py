@@ -40,3 +40,37 @@ def seasonal(samples: DataFrame, gaps: DataFrame, period: int = 24, offsets: int
     enough = near.withColumn("all", F.count("*").over(W.partitionBy("gap_id"))).where(F.col("all") >= least).select("gap_id", "dir", "off")
     fold = F.median("value") if how == "median" else F.avg("value")
     return hit.join(enough, ["gap_id", "dir", "off"]).groupBy("gap_id", "pos").agg(fold.alias("pred"), F.count("*").alias("references"))
+
+
+def _inner(h0, s0, h1, s1):
+    """Derivative of a monotone cubic at a point between two intervals of width h and slope s."""
+    w0, w1 = 2 * h1 + h0, h1 + 2 * h0
+    return F.when(s0 * s1 > 0, (w0 + w1) / (w0 / s0 + w1 / s1)).otherwise(0.0)
+
+
+def _end(h0, s0, h1, s1):
+    """Derivative at the outer end of the interval 0, whose other neighbour is the interval 1."""
+    d = ((2 * h0 + h1) * s0 - h0 * s1) / (h0 + h1)
+    return F.when(d * s0 <= 0, 0.0).when((s0 * s1 <= 0) & (F.abs(d) > 3 * F.abs(s0)), 3 * s0).otherwise(d)
+
+
+def pchip(masked: DataFrame) -> DataFrame:
+    """Monotone cubic over the context by position. Only the two support points on each side shape the curve
+    inside the gap, so one aggregate finds them; a side with one point takes the end rule, two sides with
+    one point each give the line between them. Null where a neighbour of the gap is missing."""
+    point = F.when(F.col("value").isNotNull(), F.struct("pos", "value"))
+    a = masked.groupBy("gap_id", "series_id", "gap_start", "gap_end").agg(
+        F.max(F.when(F.col("pos") < F.col("gap_start") - 1, point)).alias("p0"), F.max(F.when(F.col("pos") == F.col("gap_start") - 1, F.col("value"))).alias("y1"),
+        F.max(F.when(F.col("pos") == F.col("gap_end"), F.col("value"))).alias("y2"), F.min(F.when(F.col("pos") > F.col("gap_end"), point)).alias("p3"),
+    )
+    h = (F.col("gap_end") - F.col("gap_start") + 1).cast("double")
+    s = (F.col("y2") - F.col("y1")) / h
+    h0, h3 = (F.col("gap_start") - 1 - F.col("p0.pos")).cast("double"), (F.col("p3.pos") - F.col("gap_end")).cast("double")
+    s0, s3 = (F.col("y1") - F.col("p0.value")) / h0, (F.col("p3.value") - F.col("y2")) / h3
+    left, right = F.col("p0").isNotNull(), F.col("p3").isNotNull()
+    d1 = F.when(left, _inner(h0, s0, h, s)).when(right, _end(h, s, h3, s3)).otherwise(s)
+    d2 = F.when(right, _inner(h, s, h3, s3)).when(left, _end(h, s, h0, s0)).otherwise(s)
+    a = a.select("gap_id", "series_id", "gap_start", "y1", "y2", h.alias("h"), d1.alias("d1"), d2.alias("d2"), F.explode(F.sequence("gap_start", F.col("gap_end") - 1)).alias("pos"))
+    t = (F.col("pos") - F.col("gap_start") + 1) / F.col("h")
+    y = F.col("y1") * (1 + 2 * t) * (1 - t) * (1 - t) + F.col("h") * F.col("d1") * t * (1 - t) * (1 - t) + F.col("y2") * t * t * (3 - 2 * t) + F.col("h") * F.col("d2") * t * t * (t - 1)
+    return a.select("gap_id", "series_id", "pos", y.alias("pred"))

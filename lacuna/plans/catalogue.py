@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.operators import gaps, impute, metrics, runtime
+from lacuna.operators import gaps, impute, metrics, runtime, selection
 from lacuna.sources.series import events_hourly
 
 
@@ -29,6 +29,18 @@ def _overlap(spark, sf):
     return gaps.without_overlap(gaps.candidates(s, 3), gaps.manifest(s)).select("series_id", "gap_start", "gap_end")
 
 
+def _gains(spark, sf):
+    """Gain of every method over linear, with a tenth of its own error as uncertainty."""
+    e = _errors(spark, sf).select("gap_id", "method", "nrmse")
+    base = e.where("method = 'linear'").select("gap_id", F.col("nrmse").alias("base"))
+    return e.join(base, "gap_id").select("gap_id", "method", (F.col("base") - F.col("nrmse")).alias("gain"), (0.1 * F.col("nrmse")).alias("uncertainty"), F.col("nrmse").isNotNull().alias("applicable"))
+
+
+def _floors(spark, sf):
+    s, g, m = _parts(spark, sf)
+    return selection.fold_floors(metrics.scales(s, g, m).join(g.select("gap_id", "series_id"), "gap_id"))
+
+
 QUERIES = {
     "densify_hourly": lambda sp, d: _round(events_hourly(sp, d).select("series_id", "pos", "value", "valid"), "value"),
     "recording_summary": lambda sp, d: events_hourly(sp, d).groupBy("series_id").agg(F.count("*").alias("n_samples"), F.count_if("valid").alias("n_valid"), F.round(F.avg(F.col("valid").cast("double")), 6).alias("valid_share")),
@@ -40,12 +52,16 @@ QUERIES = {
     "impute_simple": lambda sp, d: _round(impute.simple_methods(_parts(sp, d)[2]).select("gap_id", "pos", "method", "pred"), "pred"),
     "impute_seasonal_median": lambda sp, d: _round(impute.seasonal(*_parts(sp, d)[:2]), "pred"),
     "impute_seasonal_mean": lambda sp, d: _round(impute.seasonal(*_parts(sp, d)[:2], how="mean"), "pred"),
+    "impute_pchip": lambda sp, d: _round(impute.pchip(_parts(sp, d)[2]).select("gap_id", "pos", "pred"), "pred"),
     "gap_features": lambda sp, d: _round(metrics.features(_parts(sp, d)[2]), "local_iqr", "boundary_jump", "mean_difference", "context_std", "context_range", "trend_left", "trend_right"),
     "leave_gap_out_scale": lambda sp, d: _round(metrics.scales(*_parts(sp, d)), "local_iqr", "series_iqr", "scale"),
     "method_errors": lambda sp, d: _round(_errors(sp, d).select("gap_id", "method", "rmse", "mae", "nrmse"), "rmse", "mae", "nrmse"),
     "best_method": lambda sp, d: _round(metrics.best(_errors(sp, d)), "best_error"),
     "oracle_vs_fixed_macro": lambda sp, d: _round(runtime.fixed_and_oracle(_errors(sp, d)), "mean_nrmse"),
     "method_shares_zero_filled": lambda sp, d: _round(runtime.method_shares(metrics.best(_errors(sp, d)), ["forward_fill", "nearest_boundary", "linear"]), "share"),
+    "rank_candidates": lambda sp, d: selection.rank_candidates(_errors(sp, d)),
+    "select_challenger": lambda sp, d: _round(selection.select_challenger(_gains(sp, d), "linear"), "score"),
+    "fold_scale_floors": lambda sp, d: _round(_floors(sp, d), "floor"),
     "outlier_iqr": lambda sp, d: runtime.outliers(events_hourly(sp, d), "iqr", 1.5).where("outlier").select("series_id", "pos"),
     "outlier_zscore": lambda sp, d: runtime.outliers(events_hourly(sp, d), "zscore", 2.0).where("outlier").select("series_id", "pos"),
     "standardize_zscore": lambda sp, d: _round(runtime.standardise(events_hourly(sp, d), "zscore").select("series_id", "pos", "scaled"), "scaled"),
@@ -103,6 +119,13 @@ def _scaled(c: str, w: str) -> str:
 
 
 _IQR = "quantile_cont(value, 0.75) - quantile_cont(value, 0.25)"
+_PCHIP = """, a AS (SELECT gap_id, gap_start, (gap_end - gap_start + 1)::DOUBLE AS h, max(value) FILTER (pos = gap_start - 1) AS y1, max(value) FILTER (pos = gap_end) AS y2,
+  gap_start - 1 - max(pos) FILTER (value IS NOT NULL AND pos < gap_start - 1) AS h0, arg_max(value, pos) FILTER (value IS NOT NULL AND pos < gap_start - 1) AS y0,
+  min(pos) FILTER (value IS NOT NULL AND pos > gap_end) - gap_end AS h3, arg_min(value, pos) FILTER (value IS NOT NULL AND pos > gap_end) AS y3, gap_end FROM m GROUP BY gap_id, gap_start, gap_end),
+k AS (SELECT *, (y2 - y1) / h AS s, (y1 - y0) / h0 AS s0, (y3 - y2) / h3 AS s3 FROM a),
+d AS (SELECT *, CASE WHEN s * s0 > 0 THEN 3 * (h + h0) / ((2 * h + h0) / s0 + (h + 2 * h0) / s) ELSE 0 END AS d1, CASE WHEN s * s3 > 0 THEN 3 * (h + h3) / ((2 * h3 + h) / s + (h3 + 2 * h) / s3) ELSE 0 END AS d2 FROM k),
+x AS (SELECT d.*, m.pos, (m.pos - d.gap_start + 1) / h AS t FROM d JOIN m USING (gap_id) WHERE side = 'G')
+SELECT gap_id, pos, round(y1 + h * d1 * t + (3 * (y2 - y1) - h * (2 * d1 + d2)) * t * t + (2 * (y1 - y2) + h * (d1 + d2)) * t * t * t, 6) AS pred FROM x"""
 _FULL = _BASE + _GAPS + _SIMPLE + _SCALE + _ERR
 SQL = {
     "densify_hourly": _BASE + "SELECT series_id, pos, round(value, 6) AS value, valid FROM s",
@@ -115,6 +138,7 @@ SQL = {
     "impute_simple": _BASE + _GAPS + _SIMPLE + "SELECT gap_id, pos, method, round(pred, 6) AS pred FROM p",
     "impute_seasonal_median": _seasonal("median"),
     "impute_seasonal_mean": _seasonal("avg"),
+    "impute_pchip": _BASE + _GAPS + _PCHIP,
     "gap_features": _BASE + _GAPS + f""", f AS (SELECT gap_id, length, quantile_cont(value, 0.75) FILTER (side <> 'G') - quantile_cont(value, 0.25) FILTER (side <> 'G') AS i, avg(value) FILTER (side = 'L') AS ml, avg(value) FILTER (side = 'R') AS mr,
   stddev_pop(value) AS sd, max(value) - min(value) AS rg, regr_slope(value, pos) FILTER (side = 'L') AS sl, regr_slope(value, pos) FILTER (side = 'R') AS sr, max(value) FILTER (pos = gap_start - 1) AS xl, max(value) FILTER (pos = gap_end) AS xr FROM m GROUP BY 1, 2)
 SELECT gap_id, length AS gap_length, round(i, 6) AS local_iqr, round(abs(xr - xl) / greatest(i, 0.001::DOUBLE), 6) AS boundary_jump, round(abs(mr - ml) / greatest(i, 0.001::DOUBLE), 6) AS mean_difference, round(sd / greatest(i, 0.001::DOUBLE), 6) AS context_std,
@@ -124,6 +148,9 @@ SELECT gap_id, length AS gap_length, round(i, 6) AS local_iqr, round(abs(xr - xl
     "best_method": _FULL + "SELECT * FROM b",
     "oracle_vs_fixed_macro": _FULL + ", o AS (SELECT series_id, method, nrmse FROM e UNION ALL SELECT series_id, 'oracle', min(nrmse) FROM e GROUP BY gap_id, series_id), q AS (SELECT series_id, method, avg(nrmse) AS x, count(nrmse) AS n FROM o GROUP BY 1, 2) SELECT series_id, method, round(x, 6) AS mean_nrmse, n FROM q UNION ALL SELECT 'macro', method, round(avg(x), 6), sum(n)::BIGINT FROM q GROUP BY method",
     "method_shares_zero_filled": _FULL + "SELECT series_id, best_method, coalesce(n, 0) AS n, round(coalesce(n, 0) / total, 6) AS share FROM (SELECT series_id, count(*) AS total FROM b GROUP BY 1) CROSS JOIN (VALUES ('forward_fill'), ('nearest_boundary'), ('linear')) v(best_method) LEFT JOIN (SELECT series_id, best_method, count(*) AS n FROM b GROUP BY 1, 2) USING (series_id, best_method)",
+    "rank_candidates": _FULL + "SELECT gap_id, method, row_number() OVER (PARTITION BY gap_id ORDER BY nrmse, method_ord) AS rank FROM e WHERE nrmse IS NOT NULL",
+    "select_challenger": _FULL + ", q AS (SELECT e.gap_id, e.method, l.nrmse - e.nrmse AS gain, l.nrmse - e.nrmse - 0.1::DOUBLE * e.nrmse AS bound FROM e JOIN e l ON l.gap_id = e.gap_id AND l.method = 'linear'), o AS (SELECT *, row_number() OVER (PARTITION BY gap_id ORDER BY bound DESC, method DESC) AS r FROM q WHERE method <> 'linear' AND gain >= 0 AND bound > 0) SELECT g.gap_id, coalesce(method, 'linear') AS method, round(bound, 6) AS score FROM g LEFT JOIN (SELECT * FROM o WHERE r = 1) o USING (gap_id)",
+    "fold_scale_floors": _BASE + _GAPS + _SCALE + ", z AS (SELECT series_id, local_iqr FROM sc JOIN g USING (gap_id)) SELECT held_out, round(quantile_cont(local_iqr, 0.01), 6) AS floor, count(*) AS n FROM z JOIN (SELECT DISTINCT series_id AS held_out FROM z) ON series_id <> held_out WHERE local_iqr > 0 GROUP BY 1",
     "outlier_iqr": _BASE + ", q AS (SELECT series_id, quantile_cont(value, 0.25) AS lo, quantile_cont(value, 0.75) AS hi FROM s WHERE valid GROUP BY 1) SELECT series_id, pos FROM s JOIN q USING (series_id) WHERE valid AND hi > lo AND (value < lo - 1.5::DOUBLE * (hi - lo) OR value > hi + 1.5::DOUBLE * (hi - lo))",
     "outlier_zscore": _BASE + ", q AS (SELECT series_id, avg(value) AS a, stddev_pop(value) AS w FROM s WHERE valid GROUP BY 1) SELECT series_id, pos FROM s JOIN q USING (series_id) WHERE valid AND w > 0 AND abs(value - a) / w > 2",
     "standardize_zscore": _scaled("avg(value)", "stddev_pop(value)"),

@@ -1,5 +1,5 @@
 import pytest
-from lacuna.operators import gaps, impute, metrics, runtime
+from lacuna.operators import gaps, impute, metrics, runtime, selection
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,22 @@ def test_zero_spread_is_left_alone(spark):
     s = series(spark, [5, 5, 5, None])
     assert runtime.outliers(s, "zscore", 1.0).where("outlier").count() == 0
     assert {r.scaled for r in runtime.standardise(s, "minmax").collect()} == {5.0, None}
+
+
+def test_pchip_on_a_ramp_and_at_a_turn(spark):
+    _, _, m = one_gap(spark, range(0, 70, 10), 2, 2)
+    assert [r.pred for r in impute.pchip(m).orderBy("pos").collect()] == pytest.approx([20, 30])
+    _, _, m = one_gap(spark, [5, 1, 9, 9, 4, 8, 8], 2, 2)  # both neighbours are turning points: flat ends
+    t = [1 / 3, 2 / 3]
+    assert [r.pred for r in impute.pchip(m).orderBy("pos").collect()] == pytest.approx([1 + 3 * (3 * x * x - 2 * x**3) for x in t])
+
+
+def test_challenger_needs_a_sure_gain(spark):
+    rows = [("a", "x", 0.5, 0.1, True), ("a", "y", 0.5, 0.1, True), ("a", "z", 0.9, 0.1, False), ("b", "x", 0.2, 0.3, True), ("c", "x", None, None, True)]
+    got = {r.gap_id: r.method for r in selection.select_challenger(spark.createDataFrame(rows, "gap_id string, method string, gain double, uncertainty double, applicable boolean"), "base").collect()}
+    assert got == {"a": "y", "b": "base", "c": "base"}
+
+
+def test_floor_knows_no_row_of_its_own_group(spark):
+    s = spark.createDataFrame([("a", 1.0), ("a", 0.0), ("b", 2.0), ("b", 4.0), ("c", -1.0)], "series_id string, local_iqr double")
+    assert {r.held_out: (r.floor, r.n) for r in selection.fold_floors(s, 0.5).collect()} == {"a": (3.0, 2), "b": (1.0, 1), "c": (2.0, 3)}
