@@ -53,7 +53,7 @@ def test_zero_spread_is_left_alone(spark):
 def test_pchip_on_a_ramp_and_at_a_turn(spark):
     _, _, m = one_gap(spark, range(0, 70, 10), 2, 2)
     assert [r.pred for r in impute.pchip(m).orderBy("pos").collect()] == pytest.approx([20, 30])
-    _, _, m = one_gap(spark, [5, 1, 9, 9, 4, 8, 8], 2, 2)  # both neighbours are turning points: flat ends
+    _, _, m = one_gap(spark, [5, 1, 9, 9, 4, 3, 3], 2, 2)  # both neighbours are turning points: flat ends
     t = [1 / 3, 2 / 3]
     assert [r.pred for r in impute.pchip(m).orderBy("pos").collect()] == pytest.approx([1 + 3 * (3 * x * x - 2 * x**3) for x in t])
 
