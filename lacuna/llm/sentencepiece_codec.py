@@ -4,7 +4,9 @@ Normalisation goes through the model's compiled character map: at each position
 map is replaced, and for every normalised byte the source byte it came from is recorded. Pieces, whose
 lengths in normalised bytes are known, are projected through that alignment to spans of source bytes.
 
-Segmentation itself is the library's, so ids equal its own; ``spans`` adds the offsets.
+Segmentation itself is the library's, so ids equal its own; ``aligned`` adds the offsets, for every text that
+``encode_documents`` is given. Where no key of the map can begin and spaces stay as they are, the alignment
+is worked out for all bytes at once.
 """
 
 from __future__ import annotations
@@ -105,6 +107,7 @@ class Codec:
                 spec = dict(_fields(value))
         self.map = CharMap(spec.get(2, b""))
         self.dummy, self.squeeze, self.escape = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1))
+        self.unknown = next((i for i, (_, kind) in enumerate(self.pieces) if kind == UNKNOWN), -1)
         self.sizes = np.array([1 if kind == BYTE else len(p.encode()) for p, kind in self.pieces])
 
     def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
@@ -138,6 +141,37 @@ class Codec:
                 del out[-len(space) :], src[-len(space) :]
         return bytes(out), np.array([*src, len(data)])
 
+    def alignment(self, text: str) -> tuple[int, np.ndarray]:
+        """Number of normalised bytes and their source offsets, as ``normalise`` gives them."""
+        if self.map.units or self.squeeze:
+            norm, src = self.normalise(text)
+            return len(norm), src
+        data = np.frombuffer(text.encode(), np.uint8)
+        if not len(data):
+            return 0, np.zeros(1, np.int64)
+        begins = np.flatnonzero((data & 0xC0) != 0x80)
+        src = np.repeat(begins, np.diff(begins, append=len(data)))
+        if self.escape and (blank := data == 32).any():  # the mark has more bytes than the space
+            src = np.repeat(src, np.where(blank, len(MARK.encode()), 1))
+        dummy = (len(MARK.encode()) if self.escape else 1) * self.dummy
+        src = np.concatenate([np.zeros(dummy, np.int64), src, [len(data)]])
+        return len(src) - 1, src
+
+    def aligned(self, text: str, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends of the pieces in bytes of the source text."""
+        if not ids:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n, src = self.alignment(text)
+        own = np.array(ids)
+        sizes = self.sizes[own]
+        if (own == self.unknown).any():  # as long as what it stands for
+            sizes = np.array([len(p.encode()) if i == self.unknown else k for i, p, k in zip(ids, self.sp.encode(text, out_type=str), sizes)])
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        if at[-1] != n:
+            raise ValueError("pieces do not cover the normalised text")
+        places = src[at]
+        return places[:-1], places[1:]
+
     def encode(self, text: str) -> list[int]:
         """The ids that the library gives."""
         return self.sp.encode(text)
@@ -148,26 +182,22 @@ class Codec:
     def spans(self, text: str, ids: list[int] | None = None) -> list[tuple[int, int, int]]:
         """(id, begin, end) of every piece in bytes of the source text."""
         ids = self.encode(text) if ids is None else ids
-        norm, src = self.normalise(text)
-        if any(self.pieces[i][1] == UNKNOWN for i in ids):
-            ends = np.cumsum([len(p.surface.encode()) for p in self.sp.encode(text, out_type="immutable_proto").pieces])
-            return [(i, int(a), int(b)) for i, a, b in zip(ids, [0, *ends[:-1]], ends)]
-        ends = np.cumsum(self.sizes[ids]) if ids else np.zeros(0, int)
-        if ids and ends[-1] != len(norm):
-            raise ValueError("pieces do not cover the normalised text")
-        begins = np.concatenate([[0], ends[:-1]]).astype(int) if ids else ends
-        return [(i, int(src[a]), int(src[b])) for i, a, b in zip(ids, begins, ends)]
+        begins, ends = self.aligned(text, ids)
+        return list(zip(ids, begins.tolist(), ends.tolist()))
 
     def digests(self, texts: list[str], with_ids: bool = False) -> pd.DataFrame:
         many = self.sp.encode(texts, num_threads=1)
+        places = [self.aligned(t, ids) for t, ids in zip(texts, many)]
         sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
         out = pd.DataFrame({
             "n_tokens": [len(ids) for ids in many],
             "ids_sha256": [sha(",".join(map(str, ids))) for ids in many],
             "decoded_sha256": [sha(t) for t in self.sp.decode(many, num_threads=1)] if many else [],
+            "spans_sha256": [hashlib.sha256(np.concatenate(x).astype("<i8").tobytes()).hexdigest() for x in places],
         })
         if with_ids:
             out["ids"] = [np.array(ids, np.int32) for ids in many]
+            out["begins"], out["ends"] = [a for a, _ in places], [b for _, b in places]
         return out
 
 
@@ -182,9 +212,10 @@ def codec(path: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", chars: int = 2_000_000) -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256 (, ids).
+    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256 (, ids, begins, ends).
 
-    Null and empty texts have no tokens and digests of the empty string. Repeated rows give repeated results;
+    The spans are those of the pieces in bytes of the text as UTF-8; their digest is over all begins, then all
+    ends, as little-endian 64-bit numbers. Null and empty texts have no tokens and digests of the empty string. Repeated rows give repeated results;
     other columns are ignored; an empty table gives no rows. A text is never cut, however long.
     """
     path = model or default_model()
@@ -204,7 +235,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
                 yield out
                 begin = end
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids array<int>, begins array<long>, ends array<long>" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
 
 

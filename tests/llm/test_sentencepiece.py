@@ -55,3 +55,42 @@ def test_nulls_ties_empty_and_extra_columns(spark):
     rows = encode_documents(df, with_ids=True).collect()
     assert sorted(r.n_tokens for r in rows) == [0, 0, 2, 2]
     assert encode_documents(df.limit(0)).count() == 0
+
+
+def test_rows_carry_the_spans_of_the_reference_path(codec, spark):
+    import hashlib
+
+    rng = random.Random(3)
+    texts = TRICKY + ["".join(rng.choice("ab e\n<>0x,é漢🙂 ") for _ in range(rng.randint(0, 80))) for _ in range(200)]
+    rows = encode_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        t, data = texts[r.doc_id], texts[r.doc_id].encode()
+        norm, src = codec.normalise(t)
+        ends = [0, *(int(x) for x in codec.sizes[r.ids].cumsum())] if r.ids else [0]
+        want = [int(src[x]) for x in ends]
+        assert (r.begins, r.ends) == (want[:-1], want[1:]), t
+        assert b"".join(data[a:b] for a, b in zip(r.begins, r.ends)) == data
+        assert r.spans_sha256 == hashlib.sha256(struct.pack(f"<{2 * len(r.ids)}q", *r.begins, *r.ends)).hexdigest()
+
+
+def test_spans_through_a_compiled_map_and_unknown_pieces(tmp_path):
+    import io
+
+    import sentencepiece
+
+    out = io.BytesIO()
+    lines = [f"the ﬁne cat sat ① on  the mat Ａ{i}" for i in range(300)]
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(lines), model_writer=out, vocab_size=60, model_type="bpe", normalization_rule_name="nmt_nfkc", character_coverage=0.98, minloglevel=2)
+    (tmp_path / "small.model").write_bytes(out.getvalue())
+    own = Codec(str(tmp_path / "small.model"))
+    rng = random.Random(4)
+    for t in ["", " ", "the ﬁne  Z漢 cat", "① Ａ", *("".join(rng.choice("the cat ﬁ①ＡZ漢é ") for _ in range(30)) for _ in range(100))]:
+        ids = own.encode(t)
+        begins, ends = own.aligned(t, ids)
+        got = own.sp.encode(t, return_type="proto").pieces
+        data = t.encode()
+        assert [p.id for p in got] == ids and all(a <= b for a, b in zip(begins, ends)), t
+        # a word's piece lies within the source that the library gives it, white space apart
+        for p, a, b in zip(got, begins, ends):
+            assert data[a:b].decode(errors="ignore").strip() in (p.surface.strip(), ""), (t, p, a, b)
