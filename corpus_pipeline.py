@@ -27,16 +27,23 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents that share 80 % of their five-word shingles, the smallest doc_id stays."""
-    of = ngram_join.jaccard_components(docs, width=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(of, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """Of each component of documents that share 80 % of their five-word shingles, the smallest doc_id stays.
+
+    Rows are told apart by a 64-bit hash of id and text, so that one without an id, or one that repeats an id
+    with another text, goes only if it is linked with one that stays. A component without any id keeps the
+    smallest hash. Rows equal in id and text count as one document."""
+    key = F.xxhash64("doc_id", "text")
+    of = ngram_join.jaccard_components(docs.select(key.alias("doc_id"), "text"), width=5, percent=80).select(F.col("doc_id").alias("__key"), "component_id")
+    of = of.join(docs.select(key.alias("__key"), "doc_id").distinct(), "__key")
+    stays = of.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key"))["__key"].alias("__key")).select("__key")
+    return docs.withColumn("__key", key).join(stays, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights of rows ** 0.7. Each document comes once for every epoch that its source needs to
-    hold its weight until the largest source has been given once; none is left out."""
-    times = materialise(mixing.mix(docs).groupBy("doc_id").agg(F.count("*").alias("times")), "times")
-    return docs.join(times, "doc_id").withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*docs.columns)
+    hold its weight until the largest source has been given once; none is left out. Rows without an
+    id, and rows that repeat one, are placed each by itself."""
+    return mixing.mix(docs, carry=True).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,18 +58,21 @@ def pfair_slots(parts: DataFrame, period: int) -> DataFrame:
     return slots.select(name.alias("source"), (F.row_number().over(W.partitionBy("x").orderBy("slot")) - 1).cast("long").alias("turn"), F.col("slot").cast("long").alias("slot"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, period: int = 1000, block_rows: int = 8, bucket_rows: int = 20_000, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = None) -> DataFrame:
-    """One row for each placement: doc_id, source, epoch, block (of the source, over all epochs), slot.
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, period: int = 1000, block_rows: int = 8, bucket_rows: int = 20_000, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = None, carry: bool = False) -> DataFrame:
+    """One row for each placement: doc_id, source, epoch, block (of the source, over all epochs), slot (, row).
 
     Slots in ascending order are the mixture. It goes on for as many whole periods as the slowest source
     needs to give all of its rows; no row is left out, and a faster source begins its rows again (epoch 1,
     2, ...). Within an epoch a source's rows come in hash order; rows that repeat an id, and null ids, follow
     each other. A null source is a source. Other columns are ignored; an empty table gives no rows.
+    With ``carry`` every placement holds its whole input row as a struct, and the hash is of all columns, so
+    that rows of one id, or of none, are placed each by itself.
     A source is numbered in buckets of about ``bucket_rows`` rows, so that none is ranked in one task.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"))
-    rows = rows.withColumn("h", F.xxhash64("doc_id"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
+    held = ["row"] if carry else []
+    rows = rows.withColumn("h", F.xxhash64("doc_id", *held))
     total = rows.count()
     buckets = max(1, -(-total // bucket_rows))
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
@@ -84,16 +87,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     plan = parts.withColumn("blocks", F.ceil(F.col("rows") / F.lit(float(block_rows))))
     periods = plan.agg(F.max(F.ceil(F.col("blocks") / F.col("parts")))).first()[0] or 0
     place = F.col("before") + F.row_number().over(W.partitionBy("source", "bucket").orderBy("h", "doc_id")) - 1
-    ranked = rows.join(ahead, (rows.source.eqNullSafe(ahead.source)) & (rows.bucket == ahead.bucket)).select(rows.source, rows.bucket, "doc_id", "h", "before").withColumn("block", F.floor(place / F.lit(float(block_rows))))
+    ranked = rows.join(ahead, (rows.source.eqNullSafe(ahead.source)) & (rows.bucket == ahead.bucket)).select(rows.source, rows.bucket, "doc_id", "h", "before", *held).withColumn("block", F.floor(place / F.lit(float(block_rows))))
     ranked = ranked.withColumnRenamed("source", "own").join(F.broadcast(plan), F.col("own").eqNullSafe(F.col("source"))).drop("own")
     given = F.col("parts") * F.lit(periods)  # blocks that the source gives in all
     epochs = F.ceil((given - F.col("block")) / F.col("blocks"))
-    out = ranked.where(given > F.col("block")).select("doc_id", "source", "parts", "blocks", "block", F.explode(F.sequence(F.lit(0).cast("long"), epochs - 1)).alias("epoch"))
+    out = ranked.where(given > F.col("block")).select("doc_id", "source", "parts", "blocks", "block", *held, F.explode(F.sequence(F.lit(0).cast("long"), epochs - 1)).alias("epoch"))
     out = out.withColumn("block", F.col("block") + F.col("epoch") * F.col("blocks")).withColumn("turn", F.pmod("block", F.col("parts")))
     # at most `period` rows
     hit = slots.select(F.col("source").alias("s"), F.col("turn").alias("t"), F.col("slot").alias("within"))
     out = out.join(F.broadcast(hit), F.col("source").eqNullSafe(F.col("s")) & (F.col("turn") == F.col("t")))
-    return out.select("doc_id", "source", "epoch", "block", (F.expr("block div parts") * period + F.col("within")).alias("slot"))
+    return out.select("doc_id", "source", "epoch", "block", (F.expr("block div parts") * period + F.col("within")).alias("slot"), *held)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
