@@ -42,8 +42,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights of rows ** 0.7. Each document comes once for every epoch that its source needs to
     hold its weight until the largest source has been given once; none is left out. Rows without an
-    id, and rows that repeat one, are placed each by itself."""
-    return mixing.mix(docs, carry=True).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    id, and rows that repeat one, are placed each by itself.
+    The rows are range-ordered by slot, so that the files, by name, hold the schedule's interleaving."""
+    placed = mixing.mix(docs, carry=True).orderBy("slot", "doc_id")
+    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,17 @@ def test_mixing_keeps_null_and_repeated_ids(spark):
     from lacuna.llm import mixing
 
     assert sum(got.values()) == mixing.mix(make()).count()
+
+
+def test_mixing_writes_the_interleaving(spark):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+    from lacuna.llm import mixing
+    from lacuna.llm.common import materialise
+
+    docs = spark.createDataFrame([(i, f"t {i}", "abc"[min(2, i % 5)]) for i in range(300)], "doc_id long, text string, source string").repartition(4)
+    want = [r.source for r in mixing.mix(docs).orderBy("slot").collect()]
+    path = materialise(corpus_pipeline.mix_sources(spark, docs, ""), "mixed")._scratch
+    files = sorted(Path(path.removeprefix("file:")).glob("part-*.parquet"))
+    assert [x for f in files for x in pq.read_table(f)["source"].to_pylist()] == want
