@@ -4,12 +4,14 @@ Every source's rows are cut into blocks. Block j of a source with weight w may b
 slot floor(j / w) (release) and must be placed before slot ceil((j + 1) / w) (deadline). In each slot the
 released block with the earliest deadline goes first; every source is then always within one block of its
 share. With weights in whole parts of ``period`` the schedule repeats after ``period`` slots, so it is worked
-out once, for one period, over the small table of sources; where a block goes follows by arithmetic.
+out once, for one period, on the driver over the small table of sources; where a block goes follows by arithmetic.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import heapq
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -34,37 +36,35 @@ def target_parts(counts: DataFrame, weights: dict[str, float] | None, power: flo
 
 def pfair_slots(parts: DataFrame, period: int) -> DataFrame:
     """(source, turn, slot) for one period: earliest deadline first among released blocks."""
-    row = parts.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNotNull().alias("named"), F.coalesce("source", F.lit("")).alias("source"), "parts"))).alias("s"))
-
-    def deadline(done: Column, p: Column) -> Column:  # ceil((j + 1) * period / parts)
-        return ((done + 1) * period + p - 1 - F.pmod((done + 1) * period + p - 1, p)) / p
-
-    def place(state: Column, slot: Column) -> Column:
-        # blocks given so far, and the order of sources by slot
-        released = F.transform(
-            F.col("s"),
-            lambda x, i: F.when((x["parts"] > F.get(state["given"], i)) & (F.get(state["given"], i) * period < (slot + 1) * x["parts"]), F.struct(deadline(F.get(state["given"], i), x["parts"]).alias("d"), (-x["parts"]).alias("p"), i.alias("i"))),
-        )
-        best = F.array_min(F.filter(released, lambda r: r.isNotNull()))["i"]
-        return F.struct(
-            F.transform(state["given"], lambda g, i: g + F.when(i == best, 1).otherwise(0)).alias("given"),
-            F.concat(state["order"], F.array(best)).alias("order"),
-        )
-
-    start = F.struct(F.transform(F.col("s"), lambda x: F.lit(0).cast("long")).alias("given"), F.array().cast("array<int>").alias("order"))
-    order = row.where(F.size("s") > 0).select("s", F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)).cast("array<long>"), start, place)["order"].alias("o"))
-    slots = order.select("s", F.posexplode("o").alias("slot", "i")).select("slot", F.col("s")[F.col("i")].alias("x"))
-    name = F.when(F.col("x.named"), F.col("x.source"))
-    return slots.select(name.alias("source"), (F.row_number().over(W.partitionBy("x").orderBy("slot")) - 1).cast("long").alias("turn"), F.col("slot").cast("long").alias("slot"))
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, period: int = 1000, block_rows: int = 8, bucket_rows: int = 20_000, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = None, carry: bool = False) -> DataFrame:
+    own = parts.select(F.col("source").isNotNull().alias("named"), F.coalesce("source", F.lit("")).alias("source"), "parts")
+    p = [int(r.parts) for r in own.orderBy("named", "source").collect()]
+    order, due, waiting = [], [], [[] for _ in range(period)]
+    if p:
+        waiting[0] = [(i, 0) for i in range(len(p))]
+    for slot in range(period if p else 0):
+        for i, done in waiting[slot]:
+            heapq.heappush(due, (-(-(done + 1) * period // p[i]), -p[i], i, done))
+        _, _, i, done = heapq.heappop(due)
+        order.append(i)
+        if done + 1 < p[i]:
+            release = max(slot + 1, (done + 1) * period // p[i])
+            waiting[release].append((i, done + 1))
+    spark = parts.sparkSession
+    names = own.agg(F.array_sort(F.collect_list(F.struct("named", "source"))).alias("s")).select(F.posexplode("s").alias("i", "x"))
+    said = F.split(F.lit(",".join(map(str, order)) or "0"), ",").cast("array<int>")
+    slots = spark.range(min(1, len(p))).select(F.posexplode(said).alias("slot", "i")).join(F.broadcast(names), "i")
+    turn = F.row_number().over(W.partitionBy("i").orderBy("slot")) - 1
+    return slots.select(F.when(F.col("x.named"), F.col("x.source")).alias("source"), turn.cast("long").alias("turn"), F.col("slot").cast("long").alias("slot"))
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, period: int | None = None, block_rows: int = 8, bucket_rows: int = 20_000, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = None, carry: bool = False) -> DataFrame:
     """One row for each placement: doc_id, source, epoch, block (of the source, over all epochs), slot (, row).
 
     Slots in ascending order are the mixture. It goes on for as many whole periods as the slowest source
     needs to give all of its rows; no row is left out, and a faster source begins its rows again (epoch 1,
     2, ...). Within an epoch a source's rows come in hash order; rows that repeat an id, and null ids, follow
     each other. A null source is a source. Other columns are ignored; an empty table gives no rows.
+    The period is 1,000 slots, or four a source if that is more; a given one is kept if it has two a source.
     With ``carry`` every placement holds its whole input row as a struct, and the hash is of all columns, so
     that rows of one id, or of none, are placed each by itself.
     A source is numbered in buckets of about ``bucket_rows`` rows, so that none is ranked in one task.
@@ -78,8 +78,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     sizes = materialise(rows.groupBy("source", "bucket").agg(F.count("*").alias("n")), "buckets")
     counts = sizes.groupBy("source").agg(F.sum("n").alias("rows"))
-    if counts.count() > MAX_SOURCES:
+    n = counts.count()
+    if n > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
+    # every source has a part, and there must be others to share out by weight
+    period = max(1000, 4 * n) if period is None or period < 2 * n else period
     parts = materialise(target_parts(counts, weights, power, period), "parts")
     slots = materialise(pfair_slots(parts, period), "slots")
     ahead = sizes.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).select("source", "bucket", "before")

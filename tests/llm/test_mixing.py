@@ -38,3 +38,13 @@ def test_odd_tables(spark):
     assert run(spark, []) == []
     got = run(spark, [(None, None, 0, ""), (None, None, 0, ""), (1, "a", 0, ""), (1, "a", 0, "")], period=4, block_rows=1)
     assert Counter(s for _, s, *_ in got) == {None: 2, "a": 2} and sorted(slot for *_, slot in got) == [0, 1, 2, 3]
+
+
+def test_more_sources_than_the_default_period(spark):
+    rows = [(i, f"s{i % 1100}" if i < 1500 else "hot", 0, "") for i in range(4000)]
+    got = run(spark, rows, block_rows=1)
+    assert {d for d, *_ in got} == set(range(4000))
+    slots = sorted(slot for *_, slot in got)
+    assert slots == list(range(len(slots))) and len(slots) % 4404 == 0
+    per = Counter(s for _, s, _, _, slot in got if slot < 4404)
+    assert len(per) == 1101 and per["hot"] == max(per.values())
