@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -23,9 +24,12 @@ def ascii_lower(text: Column) -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder named in spark.checkpoint.dir. Where that is unset: a folder of our own if the master is
+    local, as in tests; an error on a cluster, whose executors would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="lacuna-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -51,6 +55,31 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bounded(df: DataFrame, rows: int | None = None, most: int = 200_000) -> DataFrame:
+    """A table that materialise() wrote, to be broadcast if it has at most so many rows and 32 MB on disk, else
+    left to a shuffle."""
+    spark = df.sparkSession
+    if (df.count() if rows is None else rows) > most:
+        return df
+    path = getattr(df, "_scratch", None)
+    if path is None:
+        return F.broadcast(df)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return F.broadcast(df) if size <= 32 << 20 else df
+
+
+def free_names(names: list[str], taken: list[str]) -> list[str]:
+    """The names, with as many underscores after them as it takes to differ from the taken ones (in any case)."""
+    used = {t.lower() for t in taken}
+    out = []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        out.append(n)
+    return out
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of phases whose plans are no longer referenced."""
     gc.collect()
