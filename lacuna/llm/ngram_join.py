@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, partitions, release, table
+from .common import bounded, discard, materialise, partitions, release, table
 
 _U = np.uint64
 _WORD = re.compile(rb"[^ \t-\r]+").findall
@@ -38,9 +38,13 @@ _MUL = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 LOWEST = -(1 << 63)
 #: So many of its smallest block keys a member carries; more would hold back a few more repeated pairs.
-CARRIED = 32
+CARRIED = 8
 #: Blocks of at most so many members are traversed whole in the first round and not again in the second.
 SMALL = 2
+#: The partners of a leader are verified in so many parts, each of which gets the leader's set.
+SALTS = 16
+#: So many partners of a document go with one copy of its text.
+TOGETHER = 64
 
 
 class Shingler:
@@ -74,8 +78,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    """4 to 8 bits for each hash; shorter signatures are folded longer ones."""
-    m = 64 << max(0, (4 * len(hashes) - 1).bit_length() - 6)
+    """1 to 2 bits for each hash; shorter signatures are folded longer ones."""
+    m = 64 << max(0, (len(hashes) - 1).bit_length() - 6)
     bits = np.zeros(m, np.uint8)
     bits[(hashes & _U(m - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(_U)
@@ -233,7 +237,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialise(small.where("u != v").distinct(), "stars")
+        done, edges = edges, materialise(small.where("u != v").distinct(), "stars")
+        discard(done)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("node"), "comp").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
@@ -269,9 +274,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     # Python reads each text once here; equal sets go on as one node, with the smallest id that has them
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != LOWEST, F.col("id"))).alias("least"))
     nodes = materialise(nodes, "nodes")
-    one = signed.join(nodes.select("node", "id"), ["node", "id"]).dropDuplicates(["node"])
-    one = materialise(one.select("node", "n", "prefix", "bits"), "classes")
     light = materialise(signed.select("id", "n", "node"), "sizes")
+    one = signed.join(bounded(nodes.select("node", "id")), ["node", "id"])
+    if light.where("n > 0").groupBy("node", "id").count().where("count > 1").limit(1).count():
+        one = one.dropDuplicates(["node"])  # rows that repeat id and text
+    one = materialise(one.select("node", "n", "prefix", "bits"), "classes")
     discard(signed)
     release(spark)
 
@@ -279,7 +286,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     blocks = entries.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("members > 1")
     # blocks of the same members are one
     blocks = blocks.groupBy("members", "who").agg(F.min("key").alias("key")).select("key", "members")
-    member = materialise(entries.join(materialise(blocks, "blocks"), "key"), "entries")
+    blocks = materialise(blocks, "blocks")
+    release(spark)
+    member = entries_of = materialise(entries.join(bounded(blocks), "key"), "entries")
+    discard(blocks)
+    release(spark)
     rank = F.row_number().over(Window.partitionBy("node").orderBy("key"))
     carried = member.withColumn("r", rank).where(F.col("r") <= CARRIED).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     carried = materialise(one.select("node", "n", F.col("prefix")[0].alias("low"), "bits").join(carried, "node"), "carried")
@@ -293,6 +304,8 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     member = member.withColumn("bands", F.when(F.col("members") > hot, cut).otherwise(whole))
     member = member.select("key", "node", F.explode("bands").alias("x")).select("key", "node", "x.band", F.explode("x.cells").alias("c")).select(F.xxhash64("key", "band", "c.i", "c.j").alias("block"), "node", "key")
     member = materialise(member, "members")
+    discard(entries_of)
+    discard(one)
     release(spark)
 
     def candidates(comps: DataFrame | None) -> DataFrame:
@@ -354,33 +367,52 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         return full.repartition(parts, F.xxhash64("block")).sortWithinPartitions("block", "node").mapInPandas(search, "a long, b long").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = rows.join(ends.join(nodes.select("node", "id"), "node"), "id")
+        """The pairs that link. The set of a pair's first goes, once for many, to where its partners' sets go;
+        no task holds more than two sets at a time."""
+        part = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int").alias("salt")
+        role = pairs.select(F.col("b").alias("node"), F.col("a").alias("g"), part).unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("g"), part).distinct())
+        turn = F.floor((F.row_number().over(Window.partitionBy("node").orderBy("g", "salt")) - 1) / TOGETHER)
+        role = role.withColumn("turn", turn).groupBy("node", "turn").agg(F.collect_list(F.struct("g", "salt")).alias("at"))
+        role = materialise(role.join(nodes.select("node", "id"), "node").select("id", "node", "at"), "roles")
+        texts = rows.join(bounded(role), "id")
 
         def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own = Shingler(width)
             for b in batches:
-                for at in range(0, len(b), 500):
-                    some = b.iloc[at : at + 500]
-                    out = [(node, h.tobytes()) for (_, h, node), want in zip(sets(some, own), some["node"]) if node == want]
+                for at in range(0, len(b), 200):
+                    some = b.iloc[at : at + 200]
+                    out = []
+                    for (_, h, node), want, places in zip(sets(some, own), some["node"], some["at"]):
+                        if node == want:
+                            out += [(x["g"], x["salt"], x["g"] != node, node, h.tobytes()) for x in places]
+                        if len(out) > 2_000:
+                            yield pd.DataFrame(out, columns=["g", "salt", "partner", "node", "hashes"])
+                            out = []
                     if out:
-                        yield pd.DataFrame(out, columns=["node", "hashes"])
+                        yield pd.DataFrame(out, columns=["g", "salt", "partner", "node", "hashes"])
 
-        full = materialise(texts.mapInPandas(again, "node long, hashes binary").dropDuplicates(["node"]), "sets")
-        release(spark)
-        joined = pairs.join(full.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+        met = texts.mapInPandas(again, "g long, salt int, partner boolean, node long, hashes binary")
+        met = met.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", "partner", "node")
 
         def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            lead, x, last = None, None, None
             for b in batches:
                 keep = []
-                for x, y in zip(b["x"], b["y"]):
-                    x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(x) + len(y) - common))
-                if any(keep):
-                    yield b.loc[keep, ["a", "b"]]
-
-        return materialise(joined.mapInPandas(check, "a long, b long"), "links")
+                for g, salt, partner, node, hashes in zip(b["g"], b["salt"], b["partner"], b["node"], b["hashes"]):
+                    if not partner:
+                        lead, x, last = (g, salt), np.frombuffer(hashes, _U), None
+                    elif lead == (g, salt) and node != last:  # rows that repeat id and text come more than once
+                        last, y = node, np.frombuffer(hashes, _U)
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        if 100 * common >= percent * (len(x) + len(y) - common):
+                            keep.append((g, node))
+                if keep:
+                    yield pd.DataFrame(keep, columns=["a", "b"])
+
+        out = materialise(met.mapInPandas(check, "a long, b long"), "links")
+        discard(role)
+        release(spark)
+        return out
 
     first = materialise(candidates(None), "pairs")
     release(spark)
@@ -388,11 +420,20 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     comps = materialise(components(links), "components")
     release(spark)
     second = materialise(candidates(comps).join(first, ["a", "b"], "left_anti"), "pairs")
+    discard(member)
+    discard(carried)
+    discard(first)
+    release(spark)
     if second.limit(1).count():
-        comps = components(links.unionByName(verified(second)))
+        more = verified(second)
+        comps = materialise(components(links.unionByName(more)), "components")
+        discard(more)
+    discard(second)
+    discard(links)
     out = nodes.select("node", "least").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = out.groupBy("comp").agg(F.min("least").alias("component_id"))
-    of = materialise(out.join(least, "comp").select("node", "component_id"), "classes")
+    of = materialise(out.join(least, "comp").select("node", "component_id"), "components")
+    discard(comps)
     own = F.when(F.col("id") != LOWEST, F.col("id"))
     return (
         light.where("n > 0").join(of, "node").select(own.alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
