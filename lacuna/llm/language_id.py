@@ -5,8 +5,8 @@ inverse document frequency and scaled to unit length. Each language is represent
 found by spherical k-means. The nearest centroid by cosine gives the language; a text farther from all
 centroids than nearly all training texts of that language is rejected.
 
-The model is fitted on the driver from at most ``sample`` labelled texts, the first ``head`` characters of
-each; prediction reads whole texts.
+Document frequencies are counted over all labelled texts. The centroids are fitted on the driver from the gram
+counts of at most ``sample`` texts of each language; every text, in training and prediction, is read whole.
 """
 
 from __future__ import annotations
@@ -18,9 +18,10 @@ import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_names, table
 
 DIMS = 1 << 13
 _LETTER = regex.compile(r"\p{L}")
@@ -62,18 +63,24 @@ class Centroids:
         return out
 
 
-def fit(texts: list[str], langs: list[str], clusters: int = 4, rounds: int = 8, seed: int = 7, quantile: float = 0.001, slack: float = 0.5) -> Centroids:
-    """slack: a text is rejected below this share of the training texts' lowest quantile of cosine."""
+def fit(texts: list[str], langs: list[str], **how) -> Centroids:
+    """From texts, with document frequencies over them alone."""
     pairs = [(c, g) for c, g in zip(map(counts, texts), langs) if c is not None]
-    if not pairs:
+    raw = np.stack([c for c, _ in pairs]) if pairs else np.zeros((0, DIMS))
+    return fit_counts(raw, [g for _, g in pairs], (raw > 0).sum(axis=0), len(raw), **how)
+
+
+def fit_counts(raw: np.ndarray, langs: list[str], having: np.ndarray, of: int, clusters: int = 4, rounds: int = 8, seed: int = 7, quantile: float = 0.001, slack: float = 0.5) -> Centroids:
+    """From gram counts; ``having`` of ``of`` texts have each gram. A text is rejected below ``slack`` times the
+    training texts' lowest ``quantile`` of cosine."""
+    if not len(raw):
         return Centroids(np.ones(DIMS), np.zeros((0, DIMS)), [], np.zeros(0))
-    raw = np.stack([c for c, _ in pairs]).astype(np.float32)
-    idf = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1).astype(np.float32)
-    x = np.log1p(raw) * idf
+    idf = (np.log((1 + of) / (1 + having)) + 1).astype(np.float32)
+    x = np.log1p(raw.astype(np.float32)) * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rng, centres, names, floors = np.random.default_rng(seed), [], [], []
-    for lang in sorted({g for _, g in pairs}):
-        own = x[[g == lang for _, g in pairs]]
+    for lang in sorted(set(langs)):
+        own = x[[g == lang for g in langs]]
         c = own[rng.choice(len(own), min(clusters, len(own)), replace=False)]
         for _ in range(rounds):
             nearest = (own @ c.T).argmax(axis=1)
@@ -86,25 +93,63 @@ def fit(texts: list[str], langs: list[str], clusters: int = 4, rounds: int = 8,
     return Centroids(idf, np.stack(centres), names, np.array(floors))
 
 
-def train(docs: DataFrame, usable: Column, sample: int = 1500, head: int = 3000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Centroids:
-    """Fit on at most ``sample`` usable labelled rows, those that come first by a hash of their id.
+#: More languages than this are refused: the model holds several centroids of each.
+MAX_LANGS = 2_000
+
+
+def train(docs: DataFrame, usable: Column, sample: int = 400, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Centroids:
+    """Fit on at most ``sample`` usable labelled rows of each language, those that come first by a hash of id and
+    text (ties, and rows that repeat both, in any order: they are equal); a language with fewer gives all. Texts
+    without a letter teach nothing. Document frequencies are over all usable rows. Null text and null lang are left
+    out; an empty table gives a model that knows no language.
 
-    A threshold on the hash leaves about twice that many before they are ordered, so that little is sent."""
-    h, space = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40)), 1 << 40
+    A threshold on the hash leaves about twice as many rows before they are ordered. Grams are counted by the
+    executors, so that no text is sent to the driver."""
+    h, space = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40)), 1 << 40
     good = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    below = space * min(1.0, 2 * sample / max(1, good.count()))
-    rows = (
-        good.where(h <= F.lit(int(below)))
-        .select(h.alias("h"), F.substring(F.col(text_col), 1, head).alias("t"), F.col(lang_col).cast("string").alias("g"))
-        .orderBy("h", "t", "g")
-        .limit(sample)
-        .collect()
-    )
-    return fit([r.t for r in rows], [r.g for r in rows])
+    good = good.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("g"), h.alias("h"))
+    sizes = good.groupBy("g").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    if not sizes:
+        return fit([], [])
+    spark = docs.sparkSession
+    below = spark.createDataFrame([(r.g, int(space * min(1.0, 2 * sample / r.n))) for r in sizes], "g string, below long")
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """How many texts have each gram, and (gram -1) how many there are."""
+        having, of = np.zeros(DIMS, np.int64), 0
+        for b in batches:
+            for c in map(counts, b["t"]):
+                if c is not None:
+                    having += c > 0
+                    of += 1
+        yield pd.DataFrame({"gram": np.arange(-1, DIMS), "n": np.concatenate([[of], having])})
+
+    def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(g, c) for g, c in zip(b["g"], map(counts, b["t"])) if c is not None]
+            if found:
+                yield pd.DataFrame({"g": [g for g, _ in found], "at": [np.flatnonzero(c).astype(np.int32) for _, c in found], "n": [c[c > 0] for _, c in found]})
+
+    having = np.zeros(DIMS + 1, np.int64)
+    for r in good.select("t").mapInPandas(partial, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        having[r.gram + 1] = r.n
+    few = good.join(F.broadcast(below), "g").where("h <= below")
+    few = few.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy("h"))).where(F.col("r") <= sample)
+    rows = few.select("t", "g").mapInPandas(sparse, "g string, at array<int>, n array<double>").toPandas()
+    raw = np.zeros((len(rows), DIMS), np.float32)
+    for i, (at, n) in enumerate(zip(rows["at"], rows["n"])):
+        raw[i, np.asarray(at)] = n
+    order = np.lexsort((*raw[:, :64].T, rows["g"].to_numpy(str)))  # rows arrive in any order
+    return fit_counts(raw[order], rows["g"].iloc[order].tolist(), having[1:], int(having[0]))
 
 
 def predict(docs: DataFrame, model: Centroids, text_col: str = "text", chunk: int = 256) -> DataFrame:
-    """All columns of docs and lang_pred, score, rejected. 'und', 0 and rejected for null or letterless text."""
+    """All columns of docs and lang_pred, score, rejected. 'und', 0 and rejected for null or letterless text. Of
+    equally near centroids the first by language wins; repeated rows are predicted alike; texts are read whole;
+    an empty table gives no rows. Where docs has a column of these names, that of the result gets an underscore
+    more; the three are always the last."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -114,7 +159,9 @@ def predict(docs: DataFrame, model: Centroids, text_col: str = "text", chunk: in
             rows = [r for i in range(0, len(texts), chunk) for r in shared.value.predict(texts[i : i + chunk])]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("__lang", run(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], "__lang.*")
+    names = free_names(["lang_pred", "score", "rejected"], docs.columns)
+    held = free_names(["__lang"], docs.columns)[0]
+    return docs.withColumn(held, run(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(held)[c].alias(n) for c, n in zip(["lang_pred", "score", "rejected"], names)])
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import materialise, table
+from .common import bounded, materialise, partitions, table
 
 #: More sources than this are refused: the schedule's table has a row for each slot of the period.
-MAX_SOURCES = 5_000
+MAX_SOURCES = 50_000
 
 
 def target_parts(counts: DataFrame, weights: dict[str, float] | None, power: float, period: int) -> DataFrame:
@@ -67,31 +67,34 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     The period is 1,000 slots, or four a source if that is more; a given one is kept if it has two a source.
     With ``carry`` every placement holds its whole input row as a struct, and the hash is of all columns, so
     that rows of one id, or of none, are placed each by itself.
-    A source is numbered in buckets of about ``bucket_rows`` rows, so that none is ranked in one task.
+    A source is numbered in buckets, ranges of the hash that are fewer and larger the fewer partitions there are, and
+    hold ``bucket_rows`` rows at most, so that none is ranked in one task; the order does not depend on them.
+    Texts are carried whole, however long.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
     held = ["row"] if carry else []
-    rows = rows.withColumn("h", F.xxhash64("doc_id", *held))
-    total = rows.count()
-    buckets = max(1, -(-total // bucket_rows))
-    rows = rows.withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    sizes = materialise(rows.groupBy("source", "bucket").agg(F.count("*").alias("n")), "buckets")
-    counts = sizes.groupBy("source").agg(F.sum("n").alias("rows"))
-    n = counts.count()
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if carry else []))
+    rows = rows.select(F.col("source").isNotNull().alias("named"), F.coalesce("source", F.lit("")).alias("src"), "doc_id", F.xxhash64("doc_id", *held).alias("h"), *held)
+    counts = materialise(rows.groupBy("named", "src").agg(F.count("*").alias("rows")), "sources")
+    n, total = counts.agg(F.count("*"), F.sum("rows")).first()
     if n > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     # every source has a part, and there must be others to share out by weight
     period = max(1000, 4 * n) if period is None or period < 2 * n else period
-    parts = materialise(target_parts(counts, weights, power, period), "parts")
+    parts = materialise(target_parts(counts.select(F.when(F.col("named"), F.col("src")).alias("source"), "rows"), weights, power, period), "parts")
     slots = materialise(pfair_slots(parts, period), "slots")
-    ahead = sizes.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).select("source", "bucket", "before")
     # ceil(rows / block) blocks an epoch; periods: enough for the slowest source
-    plan = parts.withColumn("blocks", F.ceil(F.col("rows") / F.lit(float(block_rows))))
+    size = max(1, min(bucket_rows, -(-(total or 0) // (4 * partitions(spark)))))
+    plan = parts.select("source", F.col("source").isNotNull().alias("named"), F.coalesce("source", F.lit("")).alias("src"), "parts", F.ceil(F.col("rows") / F.lit(float(block_rows))).alias("blocks"), F.ceil(F.col("rows") / F.lit(float(size))).alias("buckets"))
     periods = plan.agg(F.max(F.ceil(F.col("blocks") / F.col("parts")))).first()[0] or 0
-    place = F.col("before") + F.row_number().over(W.partitionBy("source", "bucket").orderBy("h", "doc_id")) - 1
-    ranked = rows.join(ahead, (rows.source.eqNullSafe(ahead.source)) & (rows.bucket == ahead.bucket)).select(rows.source, rows.bucket, "doc_id", "h", "before", *held).withColumn("block", F.floor(place / F.lit(float(block_rows))))
-    ranked = ranked.withColumnRenamed("source", "own").join(F.broadcast(plan), F.col("own").eqNullSafe(F.col("source"))).drop("own")
+    # one row a source
+    dealt = rows.join(F.broadcast(plan), ["named", "src"])
+    dealt = dealt.withColumn("bucket", F.least(F.floor(F.shiftrightunsigned("h", 1) / F.lit(2.0**63) * F.col("buckets")), F.col("buckets") - 1))
+    sizes = dealt.groupBy("named", "src", "bucket").agg(F.count("*").alias("n"))
+    ahead = materialise(sizes.select("named", "src", "bucket", (F.sum("n").over(W.partitionBy("named", "src").orderBy("bucket")) - F.col("n")).alias("before")), "buckets")
+    turn = F.row_number().over(W.partitionBy("named", "src", "bucket").orderBy("h", "doc_id")) - 1
+    ranked = dealt.withColumn("turn", turn).join(bounded(ahead), ["named", "src", "bucket"])
+    ranked = ranked.withColumn("block", F.floor((F.col("before") + F.col("turn")) / F.lit(float(block_rows))))
     given = F.col("parts") * F.lit(periods)  # blocks that the source gives in all
     epochs = F.ceil((given - F.col("block")) / F.col("blocks"))
     out = ranked.where(given > F.col("block")).select("doc_id", "source", "parts", "blocks", "block", *held, F.explode(F.sequence(F.lit(0).cast("long"), epochs - 1)).alias("epoch"))
