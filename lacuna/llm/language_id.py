@@ -76,7 +76,9 @@ def fit_counts(raw: np.ndarray, langs: list[str], having: np.ndarray, of: int, c
     if not len(raw):
         return Centroids(np.ones(DIMS), np.zeros((0, DIMS)), [], np.zeros(0))
     idf = (np.log((1 + of) / (1 + having)) + 1).astype(np.float32)
-    x = np.log1p(raw.astype(np.float32)) * idf
+    x = raw.astype(np.float32)
+    np.log1p(x, out=x)
+    x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     rng, centres, names, floors = np.random.default_rng(seed), [], [], []
     for lang in sorted(set(langs)):
@@ -97,7 +99,7 @@ def fit_counts(raw: np.ndarray, langs: list[str], having: np.ndarray, of: int, c
 MAX_LANGS = 2_000
 
 
-def train(docs: DataFrame, usable: Column, sample: int = 400, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Centroids:
+def train(docs: DataFrame, usable: Column, sample: int = 250, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Centroids:
     """Fit on at most ``sample`` usable labelled rows of each language, those that come first by a hash of id and
     text (ties, and rows that repeat both, in any order: they are equal); a language with fewer gives all. Texts
     without a letter teach nothing. Document frequencies are over all usable rows. Null text and null lang are left
@@ -128,21 +130,22 @@ def train(docs: DataFrame, usable: Column, sample: int = 400, text_col: str = "t
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [(g, c) for g, c in zip(b["g"], map(counts, b["t"])) if c is not None]
+            found = [((g, h), c) for g, h, c in zip(b["g"], b["h"], map(counts, b["t"])) if c is not None]
             if found:
-                yield pd.DataFrame({"g": [g for g, _ in found], "at": [np.flatnonzero(c).astype(np.int32) for _, c in found], "n": [c[c > 0] for _, c in found]})
+                yield pd.DataFrame({"g": [g for (g, _), _ in found], "h": [h for (_, h), _ in found], "at": [np.flatnonzero(c).astype(np.int32) for _, c in found], "n": [c[c > 0].astype(np.int32) for _, c in found]})
 
     having = np.zeros(DIMS + 1, np.int64)
     for r in good.select("t").mapInPandas(partial, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         having[r.gram + 1] = r.n
     few = good.join(F.broadcast(below), "g").where("h <= below")
     few = few.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy("h"))).where(F.col("r") <= sample)
-    rows = few.select("t", "g").mapInPandas(sparse, "g string, at array<int>, n array<double>").toPandas()
+    rows = few.select("t", "g", "h").mapInPandas(sparse, "g string, h long, at array<int>, n array<int>").toPandas().sort_values(["g", "h"])
     raw = np.zeros((len(rows), DIMS), np.float32)
     for i, (at, n) in enumerate(zip(rows["at"], rows["n"])):
         raw[i, np.asarray(at)] = n
-    order = np.lexsort((*raw[:, :64].T, rows["g"].to_numpy(str)))  # rows arrive in any order
-    return fit_counts(raw[order], rows["g"].iloc[order].tolist(), having[1:], int(having[0]))
+    langs = rows["g"].tolist()
+    del rows
+    return fit_counts(raw, langs, having[1:], int(having[0]))
 
 
 def predict(docs: DataFrame, model: Centroids, text_col: str = "text", chunk: int = 256) -> DataFrame:

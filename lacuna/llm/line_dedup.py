@@ -20,7 +20,7 @@ from .common import bounded, discard, free_names, materialise, partitions, relea
 
 LOWEST = -(1 << 63)
 #: A key is split if more distinct lines than this are indexed under it.
-HOT = 32
+HOT = 16
 
 
 def allowed(size: Column, edits: int, per: int) -> Column:
@@ -65,14 +65,17 @@ def core(a: Column, b: Column) -> Column:
     return one[0]
 
 
-def plausible(a: Column, b: Column, e: Column, parts: int = 8) -> Column:
+def plausible(a: Column, b: Column, e: Column, parts: int = 32) -> Column:
     """Necessary for a, the shorter, to be within e edits of b: all but e of its pieces stand near their place."""
-    n, found = F.length(a), []
-    for i in range(parts):
+    n = F.length(a)
+
+    def lost(count: Column, i: Column) -> Column:
         begin, end = F.floor(n * i / parts).cast("int"), F.floor(n * (i + 1) / parts).cast("int")
         low = F.greatest(begin - e, F.lit(0))
-        found.append(F.when(F.instr(F.substring(b, low + 1, end + e - low), F.substring(a, begin + 1, end - begin)) > 0, 1).otherwise(0))
-    return reduce(Column.__add__, found) >= F.lit(parts) - e
+        near = F.instr(F.substring(b, low + 1, end + e - low), F.substring(a, begin + 1, end - begin)) > 0
+        return F.when((count > e) | near, count).otherwise(count + 1)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(parts - 1)), F.lit(0), lost) <= e
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -119,10 +122,12 @@ def _reached(x: Column, y: Column, n: Column, edits: int) -> Column:
 
 
 def _pairs(level: DataFrame) -> DataFrame:
-    """Pairs of classes that share a key: indexed ones with each other, and with those that probe."""
-    own = level.where("not probe").select("key", F.col("cls").alias("a"))
-    met = own.join(level.select("key", F.col("cls").alias("b"), "probe"), "key").where("a < b or (probe and a != b)")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    """Pairs of classes that share a key and may be near: indexed ones with each other, and with those that probe,
+    which are no shorter."""
+    own = level.where("not probe").select("key", F.col("cls").alias("a"), F.col("line").alias("p"), "e")
+    met = level.select(F.col("key").alias("k"), F.col("cls").alias("b"), F.col("line").alias("q"), "probe")
+    fit = (F.col("key") == F.col("k")) & ((F.col("a") < F.col("b")) | (F.col("probe") & (F.col("a") != F.col("b")))) & plausible(F.col("p"), F.col("q"), F.col("e"))
+    return own.join(met, fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _star(leaf: DataFrame) -> DataFrame:
@@ -141,8 +146,7 @@ def _star(leaf: DataFrame) -> DataFrame:
 
 def _candidates(level: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """Distinct pairs (a, b) of classes that may be near. Every round splits the keys that are still hot."""
-    found, depth = [], 0
-    level = level.drop("first")
+    found, level = [], materialise(level.drop("first").join(bounded(texts), "cls").withColumn("body", F.col("line")), "level")
     while True:
         # at most one in HOT of the rows
         hot = materialise(level.where("not probe").groupBy("key").agg(F.count("*").alias("n_own")).where(F.col("n_own") > HOT).select("key"), "hot")
@@ -151,32 +155,35 @@ def _candidates(level: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
         found.append(materialise(_pairs(cold).distinct(), "pairs"))
         if not many:
             break
+        left = F.concat(F.expr("substring(body, 1, at)"), F.substring("body", F.col("at") + F.col("wide") + 1, F.length("body")))
         rows = level.join(bounded(hot, many), "key")
-        rows = rows.join(texts.select("cls", "line", "first"), "cls") if depth == 0 else rows
-        body = F.col("line") if depth == 0 else F.col("body")
-        left = F.concat(F.expr("substring({}, 1, at)".format("line" if depth == 0 else "body")), F.substring(body, F.col("at") + F.col("wide") + 1, F.length(body)))
-        rows = rows.select("key", "probe", "e", "cls", "first", (F.col("n") - F.col("wide")).alias("own"), left.alias("body"))
+        rows = rows.select("key", "probe", "e", "cls", "first", "line", (F.col("n") - F.col("wide")).alias("own"), left.alias("body"))
         rows = materialise(rows, "split")
-        leaf = rows.where(F.col("own") <= F.col("e"))
-        found.append(materialise(_star(leaf).distinct(), "pairs"))
+        discard(level)
+        found.append(materialise(_star(rows.where(F.col("own") <= F.col("e"))).distinct(), "pairs"))
         deeper = rows.where(F.col("own") > F.col("e"))
-        deeper = deeper.select(F.col("key").alias("above"), F.col("probe").alias("probing"), F.col("e").alias("may"), "cls", "first", "body")
+        deeper = deeper.select(F.col("key").alias("above"), F.col("probe").alias("probing"), F.col("e").alias("may"), "cls", "first", "line", "body")
         deeper = with_keys(deeper, "body", lambda n: F.col("may"), edits)
-        deeper = deeper.select(F.xxhash64("above", "key").alias("key"), (F.col("probing") | F.col("probe")).alias("probe"), "at", "wide", "n", "e", "cls", "first", "body")
-        level = materialise(deeper, "level")
-        depth += 1
+        deeper = deeper.select(F.xxhash64("above", "key").alias("key"), (F.col("probing") | F.col("probe")).alias("probe"), "at", "wide", "n", "e", "cls", "first", "line", "body")
+        # a key of one line, or of none that is indexed, meets nobody
+        deeper = materialise(deeper, "level")
+        shared = materialise(deeper.groupBy("key").agg(F.count("*").alias("all"), F.count_if(F.expr("not probe")).alias("own")).where("all > 1 and own > 0").select("key"), "shared")
+        level = materialise(deeper.join(bounded(shared), "key", "left_semi"), "level")
+        for done in (hot, rows, deeper, shared):
+            discard(done)
         release(texts.sparkSession)
     return reduce(DataFrame.unionByName, found).distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = 2, per: int = 20, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, edits: int = 1, per: int = 20, least: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, text without its repeated lines, and n_lines, n_exact, n_near (lines dropped).
 
     Lines are parted by line feeds and compared as they stand. A line of ``least`` code points or more that is
     not blank is dropped if an equal line, or one near it, occurs earlier in the input: in a smaller id (null
     is smallest; rows that repeat an id go by a hash of their text; rows equal in both count as one document)
     or earlier in the text. Near are lines within one edit for every ``per`` code points of the shorter one,
-    ``edits`` at most; shorter lines must be equal. All is judged on the input, not on what is left. Null texts
+    ``edits`` at most; shorter lines must be equal. One edit is the default: with it a hot key's halves are halved
+    in one way only, while with more edits a group is reached by several orders of splitting, and hot keys cost more. All is judged on the input, not on what is left. Null texts
     stay null, with 0 lines; a text whose lines all go becomes empty. Texts are taken whole, however long. An
     empty table gives no rows. Where docs has a column n_lines, n_exact or n_near, that of the result gets an
     underscore more; the three are always the last.
@@ -212,7 +219,7 @@ def drop_repeated_lines(docs: DataFrame, edits: int = 2, per: int = 20, least: i
     near = pairs.join(one("a", "p"), "a").join(one("b", "q"), "b")
     swap = F.length("p") <= F.length("q")
     near = near.select("a", "b", "fa", "fb", F.when(swap, F.col("p")).otherwise(F.col("q")).alias("p"), F.when(swap, F.col("q")).otherwise(F.col("p")).alias("q"))
-    near = near.withColumn("e", tau(F.length("p"))).where(plausible(F.col("p"), F.col("q"), F.col("e")))
+    near = near.withColumn("e", tau(F.length("p")))
     # few bytes but long work: adaptive plans would leave it to one task
     near = near.repartition(partitions(spark))
     any_of = lambda z: reduce(lambda w, e: w.when(F.col("e") == e, within(z["x"], z["y"], e)), range(1, edits + 1), F.when(F.lit(False), F.lit(False)))
