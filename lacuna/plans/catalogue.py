@@ -1,159 +1,163 @@
-"""The engine's queries and their SQL twins over the events series."""
+"""The engine's queries over the events series; their SQL twins are in twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.operators import gaps, impute, metrics, runtime, selection
+from lacuna.functions import kernels
+from lacuna.functions.sql import identity_seed, samples_of
+from lacuna.operators import evaluate, forest, gaps, impute, metrics, runtime, sampling, selection
+from lacuna.sources.files import summarise
 from lacuna.sources.series import events_hourly
 
+LENGTHS = (2, 5)
+HOUR_MS = 3_600_000
+SIMPLE = ["forward_fill", "nearest_boundary", "linear"]
+SEASON = kernels.Season("sample_offset", 24, offsets=4, per_direction=2, least=3)
+DAYS = kernels.Season("fixed_timedelta", 24 * HOUR_MS, offsets=4, per_direction=3, least=2, how="mean", past_only=True)
+
 
 def _round(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+    return df.withColumns({c: F.round(c, 8) for c in columns})
 
 
-def _parts(spark, sf):
+def _masked(spark, sf, lengths=LENGTHS):
     s = events_hourly(spark, sf)
-    g = gaps.manifest(s)
-    return s, g, gaps.mask(s, g)
+    return s, gaps.mask(s, gaps.candidates(s, lengths))
 
 
 def _errors(spark, sf):
-    s, g, m = _parts(spark, sf)
-    return metrics.normalised(metrics.errors(impute.simple_methods(m)), metrics.scales(s, g, m))
+    s, m = _masked(spark, sf)
+    return metrics.normalised(metrics.errors(impute.simple_methods(m)), metrics.scales(s, m))
 
 
 def _overlap(spark, sf):
     s = events_hourly(spark, sf)
-    return gaps.without_overlap(gaps.candidates(s, 3), gaps.manifest(s)).select("series_id", "gap_start", "gap_end")
+    return gaps.without_overlap(gaps.candidates(s, (3,)), sampling.non_overlapping(gaps.candidates(s, (12,)), seed=None)).select("series_id", "gap_start", "gap_end")
 
 
 def _gains(spark, sf):
     """Gain of every method over linear, with a tenth of its own error as uncertainty."""
-    e = _errors(spark, sf).select("gap_id", "method", "nrmse")
-    base = e.where("method = 'linear'").select("gap_id", F.col("nrmse").alias("base"))
-    return e.join(base, "gap_id").select("gap_id", "method", (F.col("base") - F.col("nrmse")).alias("gain"), (0.1 * F.col("nrmse")).alias("uncertainty"), F.col("nrmse").isNotNull().alias("applicable"))
+    e = _errors(spark, sf).groupBy("gap_id").agg(F.collect_list(F.struct("method", "nrmse")).alias("e"))
+    base = F.filter("e", lambda x: x["method"] == "linear")[0]["nrmse"]
+    e = e.select("gap_id", base.alias("base"), F.explode("e").alias("x")).where("x.method != 'linear'")
+    return e.select("gap_id", "x.method", (F.col("base") - F.col("x.nrmse")).alias("gain"), (0.1 * F.col("x.nrmse")).alias("uncertainty"), F.col("x.nrmse").isNotNull().alias("applicable"))
 
 
 def _floors(spark, sf):
-    s, g, m = _parts(spark, sf)
-    return selection.fold_floors(metrics.scales(s, g, m).join(g.select("gap_id", "series_id"), "gap_id"))
+    s, m = _masked(spark, sf)
+    local = m.where("side != 'G'").groupBy("gap_id", "series_id").agg(metrics.iqr("value").alias("local_iqr"))
+    return selection.fold_floors(local, selection.groups_of(spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("series_id"))))
+
+
+def _raw(spark, sf):
+    return metrics.raw_features(_masked(spark, sf)[1], HOUR_MS)
+
+
+def _regions(spark, sf):
+    return gaps.regions(runtime.outliers(events_hourly(spark, sf), "zscore", 2.0), "outlier")
+
+
+def _decisions(spark, sf):
+    """Decisions by the errors of the gap's neighbour to the left as predictions."""
+    e = _errors(spark, sf)
+    start = F.element_at(F.split("gap_id", "_"), -1).cast("long")
+    last = e.select(F.concat(F.regexp_extract("gap_id", "^(.*_)", 1), (start + 1).cast("string")).alias("gap_id"), "method", F.col("nrmse").alias("predicted"))
+    return evaluate.decisions(e, last, "linear")
+
+
+def _metrics18(spark, sf):
+    d = _decisions(spark, sf)
+    return evaluate.selection_metrics(d.select("selected_method", F.col("selected_nrmse").alias("selected_error"), F.col("baseline_nrmse").alias("default_error"), F.col("oracle_nrmse").alias("oracle_error"), (F.col("baseline_nrmse") - F.col("oracle_nrmse")).alias("best_alternative_gain")), "linear")
+
+
+def _kernel_errors(spark, sf):
+    s, m = _masked(spark, sf)
+    return metrics.normalised(metrics.errors(impute.by_kernels(m, kernels.METHODS)), metrics.scales(s, m))
+
+
+def _pipeline(spark, sf):
+    """Series with calendar timestamps through all three stages, linear ranked first."""
+    s = events_hourly(spark, sf)
+    frame = s.select("series_id", F.timestamp_millis(F.col("t_ms").cast("long")).alias("ts"), F.when(F.col("valid"), F.col("value")).alias("value"))
+    config = runtime.Config(domain="weather", series_col="series_id", timestamp_col="ts", outlier_method="zscore", standardization="zscore")
+    return runtime.impute(frame, "value", config, runtime.FixedScores({m: float(i) for i, m in enumerate(["linear", "pchip", "template"])}))
+
+
+def _forest_scores(spark, sf):
+    """A small forest learns the errors of four series and predicts those of the fifth."""
+    s, m = _masked(spark, sf, (5,))
+    x = metrics.features(metrics.raw_features(m, HOUR_MS), 1e-3)
+    e = metrics.normalised(metrics.errors(impute.simple_methods(m)), metrics.scales(s, m))
+    table = x.join(evaluate.wide(e, SIMPLE).drop("series_id"), "gap_id")
+    held = F.col("series_id") == "view"
+    targets = [f"{k}_nrmse" for k in SIMPLE]
+    a, b = forest.matrix(table.where(~held), list(metrics.FEATURES), targets)
+    f = forest.fit(spark, a, b, list(metrics.FEATURES), SIMPLE, forest.Settings(trees=16, leaf=5, features="sqrt"))
+    return _round(forest.predict(table.where(held), f, with_spread=True), "predicted", "spread")
+
+
+def _keys(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    return o.select(F.col("o_orderpriority").alias("dataset"), F.col("o_custkey").cast("string").alias("participant"), F.col("o_orderkey").cast("string").alias("recording"))
+
+
+def _exact(df: DataFrame, *whole: str) -> DataFrame:
+    """Rounds every double."""
+    return _round(df, *[c for c, t in df.dtypes if t == "double" and c not in whole])
 
 
 QUERIES = {
-    "densify_hourly": lambda sp, d: _round(events_hourly(sp, d).select("series_id", "pos", "value", "valid"), "value"),
-    "recording_summary": lambda sp, d: events_hourly(sp, d).groupBy("series_id").agg(F.count("*").alias("n_samples"), F.count_if("valid").alias("n_valid"), F.round(F.avg(F.col("valid").cast("double")), 6).alias("valid_share")),
+    "densify_hourly": lambda sp, d: _round(events_hourly(sp, d).select("series_id", "pos", "t_ms", "value", "valid"), "value"),
+    "recording_summary": lambda sp, d: _round(summarise(events_hourly(sp, d)), "valid_fraction"),
     "gap_islands": lambda sp, d: gaps.missing_gaps(events_hourly(sp, d)),
-    "gap_audit": lambda sp, d: _round(gaps.gap_audit(events_hourly(sp, d)), "coverage", "low", "high"),
-    "gap_candidates": lambda sp, d: _round(gaps.candidates(events_hourly(sp, d), 5).drop("ord"), "left_share", "right_share"),
+    "gap_count": lambda sp, d: gaps.gap_count(events_hourly(sp, d)),
+    "gap_audit": lambda sp, d: _exact(gaps.gap_audit(events_hourly(sp, d))),
+    "gap_candidates": lambda sp, d: _exact(gaps.candidates(events_hourly(sp, d), (5,)).drop("gap_id", "length")),
+    "hourly_candidates": lambda sp, d: _exact(gaps.candidates(events_hourly(sp, d), (1, 3, 8), least=4).drop("gap_id")),
+    "duration_samples": lambda sp, d: sp.read.parquet(f"{d}/events.parquet").select("event_id", samples_of(F.col("value"), F.lit(250.0)).alias("samples")),
+    "non_overlapping_first": lambda sp, d: sampling.non_overlapping(gaps.candidates(events_hourly(sp, d), (5,)), seed=None).select("series_id", "gap_start", "gap_end"),
     "overlap_antijoin": _overlap,
-    "mask_artificial_gap": lambda sp, d: _round(_parts(sp, d)[2].drop("length", "gap_start", "gap_end"), "value", "truth"),
-    "impute_simple": lambda sp, d: _round(impute.simple_methods(_parts(sp, d)[2]).select("gap_id", "pos", "method", "pred"), "pred"),
-    "impute_seasonal_median": lambda sp, d: _round(impute.seasonal(*_parts(sp, d)[:2]), "pred"),
-    "impute_seasonal_mean": lambda sp, d: _round(impute.seasonal(*_parts(sp, d)[:2], how="mean"), "pred"),
-    "impute_pchip": lambda sp, d: _round(impute.pchip(_parts(sp, d)[2]).select("gap_id", "pos", "pred"), "pred"),
-    "gap_features": lambda sp, d: _round(metrics.features(_parts(sp, d)[2]), "local_iqr", "boundary_jump", "mean_difference", "context_std", "context_range", "trend_left", "trend_right"),
-    "leave_gap_out_scale": lambda sp, d: _round(metrics.scales(*_parts(sp, d)), "local_iqr", "series_iqr", "scale"),
-    "method_errors": lambda sp, d: _round(_errors(sp, d).select("gap_id", "method", "rmse", "mae", "nrmse"), "rmse", "mae", "nrmse"),
+    "runtime_context": lambda sp, d: _exact(gaps.runtime_context(events_hourly(sp, d))),
+    "compact_windows": lambda sp, d: _round(gaps.compact(*(lambda s: (s, gaps.candidates(s, (5,))))(events_hourly(sp, d)), 24, 2).select("gap_id", "pos", "at", "value"), "value"),
+    "mask_artificial_gap": lambda sp, d: _round(_masked(sp, d)[1].select("gap_id", "series_id", "pos", "side", "value", "truth", "original_is_valid", "is_artificial_gap"), "value", "truth"),
+    "impute_simple": lambda sp, d: _round(impute.simple_methods(_masked(sp, d)[1]).select("gap_id", "pos", "method", "pred"), "pred"),
+    "impute_seasonal_median": lambda sp, d: _round(impute.seasonal(*(lambda s: (s, gaps.candidates(s, LENGTHS)))(events_hourly(sp, d)), SEASON), "pred"),
+    "impute_seasonal_past_days": lambda sp, d: _round(impute.seasonal(*(lambda s: (s, gaps.candidates(s, LENGTHS)))(events_hourly(sp, d)), DAYS), "pred"),
+    "impute_template": lambda sp, d: _round(impute.template(_masked(sp, d)[1]).select("gap_id", "pos", "pred"), "pred"),
+    "impute_pchip": lambda sp, d: _round(impute.pchip(_masked(sp, d)[1]).select("gap_id", "pos", "pred"), "pred"),
+    "impute_kernels": lambda sp, d: _round(impute.by_kernels(_masked(sp, d)[1], kernels.METHODS).select("gap_id", "pos", "method", "pred", "applicable"), "pred"),
+    "gap_features_raw": lambda sp, d: _exact(_raw(sp, d)),
+    "gap_features": lambda sp, d: _exact(metrics.features(_raw(sp, d), 1e-3).select("gap_id", *metrics.FEATURES)),
+    "leave_gap_out_scale": lambda sp, d: _exact(metrics.scales(*_masked(sp, d))),
+    "recording_floor": lambda sp, d: _exact(selection.recording_floor(events_hourly(sp, d))),
+    "method_errors": lambda sp, d: _exact(_errors(sp, d).select("gap_id", "method", "rmse", "mae", "nrmse")),
+    "benchmark_record": lambda sp, d: _exact(evaluate.wide(_errors(sp, d), SIMPLE).drop("best_method_by_mae", *[f"{m}_failure_reason" for m in SIMPLE])),
     "best_method": lambda sp, d: _round(metrics.best(_errors(sp, d)), "best_error"),
-    "oracle_vs_fixed_macro": lambda sp, d: _round(runtime.fixed_and_oracle(_errors(sp, d)), "mean_nrmse"),
-    "method_shares_zero_filled": lambda sp, d: _round(runtime.method_shares(metrics.best(_errors(sp, d)), ["forward_fill", "nearest_boundary", "linear"]), "share"),
+    "general_oracle": lambda sp, d: _exact(evaluate.general_oracle(_errors(sp, d))),
+    "general_oracle_macro": lambda sp, d: _exact(evaluate.general_oracle(_errors(sp, d), "series_id")),
+    "oracle_vs_fixed_macro": lambda sp, d: _round(evaluate.fixed_and_oracle(_errors(sp, d)), "mean_nrmse"),
+    "method_shares_zero_filled": lambda sp, d: _round(evaluate.method_shares(metrics.best(_errors(sp, d)), SIMPLE), "share"),
+    "oracle_crosstab": lambda sp, d: _exact(evaluate.oracle_crosstab(metrics.best(_errors(sp, d)), SIMPLE)),
     "rank_candidates": lambda sp, d: selection.rank_candidates(_errors(sp, d)),
     "select_challenger": lambda sp, d: _round(selection.select_challenger(_gains(sp, d), "linear"), "score"),
     "fold_scale_floors": lambda sp, d: _round(_floors(sp, d), "floor"),
+    "decisions": lambda sp, d: _exact(_decisions(sp, d)),
+    "decision_summary": lambda sp, d: _exact(evaluate.summary(_decisions(sp, d))),
+    "selection_metrics": lambda sp, d: _exact(_metrics18(sp, d)),
+    "kernel_best_method": lambda sp, d: _round(metrics.best(_kernel_errors(sp, d)), "best_error"),
     "outlier_iqr": lambda sp, d: runtime.outliers(events_hourly(sp, d), "iqr", 1.5).where("outlier").select("series_id", "pos"),
     "outlier_zscore": lambda sp, d: runtime.outliers(events_hourly(sp, d), "zscore", 2.0).where("outlier").select("series_id", "pos"),
+    "outlier_regions": _regions,
     "standardize_zscore": lambda sp, d: _round(runtime.standardise(events_hourly(sp, d), "zscore").select("series_id", "pos", "scaled"), "scaled"),
     "standardize_robust": lambda sp, d: _round(runtime.standardise(events_hourly(sp, d), "robust").select("series_id", "pos", "scaled"), "scaled"),
     "standardize_minmax": lambda sp, d: _round(runtime.standardise(events_hourly(sp, d), "minmax").select("series_id", "pos", "scaled"), "scaled"),
-}
-
-_BASE = """WITH types AS (SELECT event_type AS series_id, row_number() OVER (ORDER BY event_type) - 1 AS ord FROM (SELECT DISTINCT event_type FROM events)),
-grid AS (SELECT series_id, ord, g.pos FROM types, range(720) g(pos)),
-obs AS (SELECT event_type AS series_id, CAST(floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 3600000000) AS BIGINT) AS pos, avg(value) AS value FROM events GROUP BY 1, 2),
-s AS (SELECT series_id, ord, pos, value, value IS NOT NULL AND (pos * 7919 + ord * 104729) % 37 >= 2 AS valid FROM grid LEFT JOIN obs USING (series_id, pos))
-"""
-
-
-def _cand(n: int) -> str:
-    c = max(2, n)
-    return f"""(SELECT series_id, ord, pos AS gap_start, pos + {n} AS gap_end, pos - {c} AS ctx_start, pos + {n + c} AS ctx_end, b / {c}.0::DOUBLE AS left_share, a / {c}.0::DOUBLE AS right_share FROM (
-  SELECT *, sum(valid::INT) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS i, sum(valid::INT) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN {c} PRECEDING AND 1 PRECEDING) AS b,
-    sum(valid::INT) OVER (PARTITION BY series_id ORDER BY pos ROWS BETWEEN {n} FOLLOWING AND {n + c - 1} FOLLOWING) AS a, lag(valid) OVER (PARTITION BY series_id ORDER BY pos) AS l, lead(valid, {n}) OVER (PARTITION BY series_id ORDER BY pos) AS r FROM s)
-  WHERE pos >= {c} AND pos + {n + c} <= 720 AND i = {n} AND l AND r AND b >= 0.8 * {c} AND a >= 0.8 * {c})"""
-
-
-_ISLANDS = ", isl AS (SELECT series_id, min(pos) AS gap_start, max(pos) + 1 AS gap_end, count(*) AS n FROM (SELECT series_id, pos, pos - row_number() OVER (PARTITION BY series_id ORDER BY pos) AS run FROM s WHERE NOT valid) GROUP BY series_id, run)\n"
-_GAPS = f""", g AS (SELECT *, series_id || '_' || length || '_' || gap_start AS gap_id FROM (
-  SELECT *, 2::BIGINT AS length FROM {_cand(2)} WHERE gap_start % 31 = ord * 3 + 2 UNION ALL SELECT *, 5::BIGINT AS length FROM {_cand(5)} WHERE gap_start % 31 = ord * 3 + 5)),
-m AS (SELECT gap_id, s.series_id, length, gap_start, gap_end, pos, CASE WHEN pos >= gap_start AND pos < gap_end THEN 'G' WHEN pos < gap_start THEN 'L' ELSE 'R' END AS side,
-  CASE WHEN valid AND NOT (pos >= gap_start AND pos < gap_end) THEN value END AS value, CASE WHEN pos >= gap_start AND pos < gap_end THEN value END AS truth
-  FROM s JOIN g ON s.series_id = g.series_id AND pos >= ctx_start AND pos < ctx_end)
-"""
-_SIMPLE = """, bd AS (SELECT *, max(CASE WHEN pos = gap_start - 1 THEN value END) OVER (PARTITION BY gap_id) AS xl, max(CASE WHEN pos = gap_end THEN value END) OVER (PARTITION BY gap_id) AS xr FROM m),
-p AS (SELECT gap_id, series_id, pos, truth, 'forward_fill' AS method, 0 AS method_ord, xl AS pred FROM bd WHERE side = 'G'
-  UNION ALL SELECT gap_id, series_id, pos, truth, 'nearest_boundary', 1, CASE WHEN pos - gap_start + 1 <= gap_end - pos THEN xl ELSE xr END FROM bd WHERE side = 'G'
-  UNION ALL SELECT gap_id, series_id, pos, truth, 'linear', 2, xl + (xr - xl) * (pos - gap_start + 1) / (length + 1) FROM bd WHERE side = 'G')
-"""
-_SCALE = """, sc AS (SELECT *, greatest(local_iqr, 0.05::DOUBLE * series_iqr) AS scale FROM
-  (SELECT gap_id, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS local_iqr FROM m WHERE side <> 'G' GROUP BY 1) JOIN
-  (SELECT gap_id, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS series_iqr FROM s JOIN g ON s.series_id = g.series_id AND (pos < gap_start OR pos >= gap_end) WHERE valid GROUP BY 1) USING (gap_id))
-"""
-_ERR = """, e AS (SELECT gap_id, series_id, method, method_ord, rmse, mae, CASE WHEN scale > 0 THEN rmse / scale END AS nrmse FROM
-  (SELECT gap_id, series_id, method, method_ord, sqrt(avg((truth - pred) * (truth - pred))) AS rmse, avg(abs(truth - pred)) AS mae FROM p GROUP BY ALL) JOIN sc USING (gap_id)),
-b AS (SELECT gap_id, series_id, arg_min(method, row(nrmse, method_ord)) AS best_method, round(min(nrmse), 6) AS best_error, count(nrmse) AS n_applicable FROM e GROUP BY 1, 2)
-"""
-
-
-def _seasonal(fold: str) -> str:
-    return _BASE + _GAPS + f""", h AS (SELECT gap_id, length, dir, off, g.gap_start + k AS pos, value FROM g, (VALUES (-1), (1)) d(dir), range(1, 5) o(off), range(5) x(k), s
-  WHERE k < length AND s.series_id = g.series_id AND s.valid AND s.pos = g.gap_start + k + dir * off * 24 AND (s.pos < gap_start OR s.pos >= gap_end)),
-w AS (SELECT gap_id, dir, off FROM h GROUP BY gap_id, dir, off, length HAVING count(*) = length),
-k AS (SELECT *, count(*) OVER (PARTITION BY gap_id) AS n FROM (SELECT *, row_number() OVER (PARTITION BY gap_id, dir ORDER BY off) AS r FROM w) WHERE r <= 2)
-SELECT gap_id, pos, round({fold}(value), 6) AS pred, count(*) AS "references" FROM h JOIN k USING (gap_id, dir, off) WHERE n >= 3 GROUP BY 1, 2"""
-
-
-def _scaled(c: str, w: str) -> str:
-    return _BASE + f", q AS (SELECT series_id, {c} AS c, {w} AS w FROM s WHERE valid GROUP BY 1) SELECT series_id, pos, CASE WHEN valid THEN round(CASE WHEN w > 0 THEN (value - c) / w ELSE value END, 6) END AS scaled FROM s JOIN q USING (series_id)"
-
-
-_IQR = "quantile_cont(value, 0.75) - quantile_cont(value, 0.25)"
-_PCHIP = """, a AS (SELECT gap_id, gap_start, (gap_end - gap_start + 1)::DOUBLE AS h, max(value) FILTER (pos = gap_start - 1) AS y1, max(value) FILTER (pos = gap_end) AS y2,
-  gap_start - 1 - max(pos) FILTER (value IS NOT NULL AND pos < gap_start - 1) AS h0, arg_max(value, pos) FILTER (value IS NOT NULL AND pos < gap_start - 1) AS y0,
-  min(pos) FILTER (value IS NOT NULL AND pos > gap_end) - gap_end AS h3, arg_min(value, pos) FILTER (value IS NOT NULL AND pos > gap_end) AS y3, gap_end FROM m GROUP BY gap_id, gap_start, gap_end),
-k AS (SELECT *, (y2 - y1) / h AS s, (y1 - y0) / h0 AS s0, (y3 - y2) / h3 AS s3 FROM a),
-d AS (SELECT *, CASE WHEN s * s0 > 0 THEN 3 * (h + h0) / ((2 * h + h0) / s0 + (h + 2 * h0) / s) ELSE 0 END AS d1, CASE WHEN s * s3 > 0 THEN 3 * (h + h3) / ((2 * h3 + h) / s + (h3 + 2 * h) / s3) ELSE 0 END AS d2 FROM k),
-x AS (SELECT d.*, m.pos, (m.pos - d.gap_start + 1) / h AS t FROM d JOIN m USING (gap_id) WHERE side = 'G')
-SELECT gap_id, pos, round(y1 + h * d1 * t + (3 * (y2 - y1) - h * (2 * d1 + d2)) * t * t + (2 * (y1 - y2) + h * (d1 + d2)) * t * t * t, 6) AS pred FROM x"""
-_FULL = _BASE + _GAPS + _SIMPLE + _SCALE + _ERR
-SQL = {
-    "densify_hourly": _BASE + "SELECT series_id, pos, round(value, 6) AS value, valid FROM s",
-    "recording_summary": _BASE + "SELECT series_id, count(*) AS n_samples, count(*) FILTER (valid) AS n_valid, round(avg(valid::INT), 6) AS valid_share FROM s GROUP BY 1",
-    "gap_islands": _BASE + _ISLANDS + "SELECT * FROM isl",
-    "gap_audit": _BASE + _ISLANDS + "SELECT series_id, round(avg(valid::INT), 6) AS coverage, round(min(value) FILTER (valid), 6) AS low, round(max(value) FILTER (valid), 6) AS high, any_value(n_gaps) AS n_gaps, any_value(shortest) AS shortest, any_value(longest) AS longest FROM s LEFT JOIN (SELECT series_id, count(*) AS n_gaps, min(n) AS shortest, max(n) AS longest FROM isl GROUP BY 1) USING (series_id) GROUP BY 1",
-    "gap_candidates": _BASE + f"SELECT series_id, gap_start, gap_end, ctx_start, ctx_end, round(left_share, 6) AS left_share, round(right_share, 6) AS right_share FROM {_cand(5)}",
-    "overlap_antijoin": _BASE + _GAPS + f"SELECT series_id, gap_start, gap_end FROM {_cand(3)} c WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.series_id = c.series_id AND c.ctx_start < g.ctx_end AND c.ctx_end > g.ctx_start)",
-    "mask_artificial_gap": _BASE + _GAPS + "SELECT gap_id, series_id, pos, side, round(value, 6) AS value, round(truth, 6) AS truth FROM m",
-    "impute_simple": _BASE + _GAPS + _SIMPLE + "SELECT gap_id, pos, method, round(pred, 6) AS pred FROM p",
-    "impute_seasonal_median": _seasonal("median"),
-    "impute_seasonal_mean": _seasonal("avg"),
-    "impute_pchip": _BASE + _GAPS + _PCHIP,
-    "gap_features": _BASE + _GAPS + f""", f AS (SELECT gap_id, length, quantile_cont(value, 0.75) FILTER (side <> 'G') - quantile_cont(value, 0.25) FILTER (side <> 'G') AS i, avg(value) FILTER (side = 'L') AS ml, avg(value) FILTER (side = 'R') AS mr,
-  stddev_pop(value) AS sd, max(value) - min(value) AS rg, regr_slope(value, pos) FILTER (side = 'L') AS sl, regr_slope(value, pos) FILTER (side = 'R') AS sr, max(value) FILTER (pos = gap_start - 1) AS xl, max(value) FILTER (pos = gap_end) AS xr FROM m GROUP BY 1, 2)
-SELECT gap_id, length AS gap_length, round(i, 6) AS local_iqr, round(abs(xr - xl) / greatest(i, 0.001::DOUBLE), 6) AS boundary_jump, round(abs(mr - ml) / greatest(i, 0.001::DOUBLE), 6) AS mean_difference, round(sd / greatest(i, 0.001::DOUBLE), 6) AS context_std,
-  round(rg / greatest(i, 0.001::DOUBLE), 6) AS context_range, round(sl / greatest(i, 0.001::DOUBLE), 6) AS trend_left, round(sr / greatest(i, 0.001::DOUBLE), 6) AS trend_right FROM f""",
-    "leave_gap_out_scale": _BASE + _GAPS + _SCALE + "SELECT gap_id, round(local_iqr, 6) AS local_iqr, round(series_iqr, 6) AS series_iqr, round(scale, 6) AS scale FROM sc",
-    "method_errors": _FULL + "SELECT gap_id, method, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(nrmse, 6) AS nrmse FROM e",
-    "best_method": _FULL + "SELECT * FROM b",
-    "oracle_vs_fixed_macro": _FULL + ", o AS (SELECT series_id, method, nrmse FROM e UNION ALL SELECT series_id, 'oracle', min(nrmse) FROM e GROUP BY gap_id, series_id), q AS (SELECT series_id, method, avg(nrmse) AS x, count(nrmse) AS n FROM o GROUP BY 1, 2) SELECT series_id, method, round(x, 6) AS mean_nrmse, n FROM q UNION ALL SELECT 'macro', method, round(avg(x), 6), sum(n)::BIGINT FROM q GROUP BY method",
-    "method_shares_zero_filled": _FULL + "SELECT series_id, best_method, coalesce(n, 0) AS n, round(coalesce(n, 0) / total, 6) AS share FROM (SELECT series_id, count(*) AS total FROM b GROUP BY 1) CROSS JOIN (VALUES ('forward_fill'), ('nearest_boundary'), ('linear')) v(best_method) LEFT JOIN (SELECT series_id, best_method, count(*) AS n FROM b GROUP BY 1, 2) USING (series_id, best_method)",
-    "rank_candidates": _FULL + "SELECT gap_id, method, row_number() OVER (PARTITION BY gap_id ORDER BY nrmse, method_ord) AS rank FROM e WHERE nrmse IS NOT NULL",
-    "select_challenger": _FULL + ", q AS (SELECT e.gap_id, e.method, l.nrmse - e.nrmse AS gain, l.nrmse - e.nrmse - 0.1::DOUBLE * e.nrmse AS bound FROM e JOIN e l ON l.gap_id = e.gap_id AND l.method = 'linear'), o AS (SELECT *, row_number() OVER (PARTITION BY gap_id ORDER BY bound DESC, method DESC) AS r FROM q WHERE method <> 'linear' AND gain >= 0 AND bound > 0) SELECT g.gap_id, coalesce(method, 'linear') AS method, round(bound, 6) AS score FROM g LEFT JOIN (SELECT * FROM o WHERE r = 1) o USING (gap_id)",
-    "fold_scale_floors": _BASE + _GAPS + _SCALE + ", z AS (SELECT series_id, local_iqr FROM sc JOIN g USING (gap_id)) SELECT held_out, round(quantile_cont(local_iqr, 0.01), 6) AS floor, count(*) AS n FROM z JOIN (SELECT DISTINCT series_id AS held_out FROM z) ON series_id <> held_out WHERE local_iqr > 0 GROUP BY 1",
-    "outlier_iqr": _BASE + ", q AS (SELECT series_id, quantile_cont(value, 0.25) AS lo, quantile_cont(value, 0.75) AS hi FROM s WHERE valid GROUP BY 1) SELECT series_id, pos FROM s JOIN q USING (series_id) WHERE valid AND hi > lo AND (value < lo - 1.5::DOUBLE * (hi - lo) OR value > hi + 1.5::DOUBLE * (hi - lo))",
-    "outlier_zscore": _BASE + ", q AS (SELECT series_id, avg(value) AS a, stddev_pop(value) AS w FROM s WHERE valid GROUP BY 1) SELECT series_id, pos FROM s JOIN q USING (series_id) WHERE valid AND w > 0 AND abs(value - a) / w > 2",
-    "standardize_zscore": _scaled("avg(value)", "stddev_pop(value)"),
-    "standardize_robust": _scaled("median(value)", _IQR),
-    "standardize_minmax": _scaled("min(value)", "max(value) - min(value)"),
+    "pipeline_run": lambda sp, d: _round(_pipeline(sp, d).frame, "value"),
+    "pipeline_gap_log": lambda sp, d: runtime.log_summary(_pipeline(sp, d).gap_log),
+    "sampled_gaps": lambda sp, d: _exact(sampling.sample_gaps(events_hourly(sp, d), 8, HOUR_MS, 12 * HOUR_MS, 1 / 3600, 4, shortfall="log")),
+    "forest_predictions": _forest_scores,
+    "participant_splits": lambda sp, d: sampling.split_participants(_keys(sp, d)),
+    "balanced_recordings": lambda sp, d: sampling.balanced_recordings(_keys(sp, d), 20, 2),
+    "identity_seeds": lambda sp, d: sp.read.parquet(f"{d}/orders.parquet").select("o_orderkey", identity_seed(F.lit(42), F.col("o_orderkey"), F.col("o_orderpriority")).alias("seed")),
 }
