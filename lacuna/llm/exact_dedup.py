@@ -19,7 +19,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text counts as empty. Rows with a null id count in group_size; such a row is kept only if no row
     of its group has an id. Rows that repeat the winning id are all marked kept, as they cannot be told
-    apart. An empty table gives no rows. Other columns are ignored, whatever their names.
+    apart. Texts are compared whole, however long. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("body"))
     rows = rows.select("doc_id", "body", F.unhex(F.sha2("body", 256)).alias("digest"), F.xxhash64("body").alias("check"))
@@ -30,7 +30,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     salted = (
         rows.join(F.broadcast(hot), "digest", "left")
-        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(F.lit(0)))
+        .withColumn("salt", F.when(F.col("hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)))
         .groupBy("digest", "check", "salt", "body", "hot")
         .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
         # an unsalted group is complete: only winners of salts carry their text on

@@ -18,3 +18,11 @@ def test_against_brute_force(spark):
         got = exact_dedup(df, hot_share=share).collect()
         assert sorted(((r.doc_id if r.doc_id is not None else -1, r.keep_id, r.group_size, r.kept) for r in got), key=str) == brute(rows)
     assert exact_dedup(df.limit(0)).count() == 0
+
+
+def test_a_hot_text_under_null_and_one_repeated_id(spark):
+    from lacuna.llm.exact_dedup import exact_dedup
+
+    rows = [(None, "Same") for _ in range(300)] + [(7, "sAME") for _ in range(300)] + [(1, "other")]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), hot_share=0.1).collect()
+    assert len(got) == 601 and {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == {(None, 7, 600, False), (7, 7, 600, True), (1, 1, 1, True)}
