@@ -3,8 +3,9 @@
 1. One pass over the texts gives each document's set of hashed shingles as a bitmap signature, its size, a
    class key of the whole set (equal sets are one class from here on) and the prefix of its hashes in
    ascending order. Two sets of the asked similarity share a hash within their prefixes, so these deal the
-   classes out to blocks. Blocks with the same members are one; hot blocks are cut into size bands and a
-   grid of cells in which every two members still meet.
+   classes out to blocks. Members whose size fits no other's leave a block, and blocks of two go if too few
+   hashes follow the shared one. Blocks with the same members are one; hot blocks are cut into size bands
+   and a grid of cells in which every two members still meet.
 2. In a block, signature trees (one per signature length) hold in each node the OR of its members'
    bitmaps, the range of their sizes and their largest slack (hashes less bits). A dual traversal drops
    pairs of nodes whose largest possible overlap is below what their sizes ask for.
@@ -282,14 +283,32 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     discard(signed)
     release(spark)
 
-    entries = one.select("node", F.explode("prefix").alias("key"))
-    blocks = entries.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who")).where("members > 1")
+    entries = one.select("node", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "n", (F.col("n") - F.col("pos")).alias("rest"))
+
+    def fitting(rows: DataFrame) -> DataFrame:
+        """Keys of two members or more. Of two, their sizes must fit, and so must the overlap that is left from
+        this key on: a pair that links passes at the first key that both share."""
+        told = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.sum("n").alias("both"), F.min("rest").alias("rest"))
+        fits = (100 * F.col("lo") >= percent * F.col("hi")) & ((100 + percent) * F.col("rest") >= percent * F.col("both"))
+        return told.where((F.col("members") > 2) | ((F.col("members") == 2) & fits)).select("key", "members", "who")
+
+    blocks = materialise(fitting(entries).select("key", "members"), "blocks")
+    release(spark)
+    met = entries.join(bounded(blocks), "key")
+    # a member whose size fits no other's leaves the block; it must differ from its neighbours in order of size too
+    by_size = Window.partitionBy("key").orderBy("n")
+    below, above = F.lag("n").over(by_size), F.lead("n").over(by_size)
+    near = met.where(F.col("members").between(3, hot)).withColumn("fits", (100 * below >= percent * F.col("n")) | (100 * F.col("n") >= percent * above)).where("fits").drop("fits")
+    near = materialise(near.unionByName(met.where(~F.col("members").between(3, hot))).drop("members"), "near")
+    discard(blocks)
+    release(spark)
     # blocks of the same members are one
-    blocks = blocks.groupBy("members", "who").agg(F.min("key").alias("key")).select("key", "members")
+    blocks = fitting(near).groupBy("members", "who").agg(F.min("key").alias("key")).select("key", "members")
     blocks = materialise(blocks, "blocks")
     release(spark)
-    member = entries_of = materialise(entries.join(bounded(blocks), "key"), "entries")
+    member = entries_of = materialise(near.select("key", "node").join(bounded(blocks), "key"), "entries")
     discard(blocks)
+    discard(near)
     release(spark)
     rank = F.row_number().over(Window.partitionBy("node").orderBy("key"))
     carried = member.withColumn("r", rank).where(F.col("r") <= CARRIED).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
