@@ -1,8 +1,9 @@
 """Exact Jaccard self-join of documents on word n-grams, by signature trees.
 
-1. One pass over the texts gives each document's set of hashed shingles as a bitmap signature, its size, a
-   class key of the whole set (equal sets are one class from here on) and the prefix of its hashes in
-   ascending order. Two sets of the asked similarity share a hash within their prefixes, so these deal the
+1. A pass over the texts gives each document's set of hashed shingles as a bitmap signature, its size, a
+   class key of the whole set (equal sets are one class from here on) and the prefix of its hashes, rare
+   ones first: a pass before it counts all shingles in a table of fixed size, whose classes and then the
+   hashes themselves are the order. Two sets of the asked similarity share a hash within their prefixes, so these deal the
    classes out to blocks. Members whose size fits no other's leave a block, and blocks of two go if too few
    hashes follow the shared one. Blocks with the same members are one; hot blocks are cut into size bands
    and a grid of cells in which every two members still meet.
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,10 @@ class Shingler:
 
     def __call__(self, text: str) -> np.ndarray:
         """Ascending distinct hashes of the text's shingles."""
+        return np.unique(self.hashes(text))
+
+    def hashes(self, text: str) -> np.ndarray:
+        """Hashes of the text's shingles, one for each place."""
         words = _WORD(text.encode().translate(_LOWER))
         known = self.words
         if len(known) > self.remembered:
@@ -70,7 +76,55 @@ class Shingler:
             x = (h[i : len(h) - n + 1 + i] ^ out) * _MUL[i % len(_MUL)]
             out = x ^ x >> _U(32)
         out *= _U(0xFF51AFD7ED558CCD)
-        return np.unique(out ^ out >> _U(29))
+        return out ^ out >> _U(29)
+
+
+#: Shingles are counted in so many buckets by their hash, sent in chunks; counts only order the hashes.
+BUCKETS, CHUNK = 1 << 20, 1 << 12
+_BUCKET = _U(BUCKETS - 1)
+
+
+def frequency_classes(rows: DataFrame, width: int) -> np.ndarray:
+    """For each bucket a class that rises with the number of shingles in it, over all texts: quarters of a power
+    of two above the mean. The table has a fixed size; task counts are added in two steps, as streams."""
+    parts = partitions(rows.sparkSession)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, seen = Shingler(width), np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            held, size = [], 0
+            for t in b["text"]:
+                h = own.hashes(t)
+                held.append(h)
+                size += len(h)
+                if size > 1 << 20:
+                    seen += np.bincount((np.concatenate(held) & _BUCKET).astype(np.int64), minlength=BUCKETS)
+                    held, size = [], 0
+            if size:
+                seen += np.bincount((np.concatenate(held) & _BUCKET).astype(np.int64), minlength=BUCKETS)
+        salt = TaskContext.get().partitionId() % 64
+        yield pd.DataFrame([(i // CHUNK, salt, seen[i : i + CHUNK].tobytes()) for i in range(0, BUCKETS, CHUNK) if seen[i : i + CHUNK].any()], columns=["chunk", "salt", "n"])
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, total = None, None
+        for b in batches:
+            for chunk, salt, n in zip(b["chunk"], b["salt"], b["n"]):
+                if at != (chunk, salt):
+                    if at is not None:
+                        yield pd.DataFrame([(*at, total.tobytes())], columns=["chunk", "salt", "n"])
+                    at, total = (chunk, salt), np.zeros(CHUNK, np.int64)
+                total += np.frombuffer(n, np.int64)
+        if at is not None:
+            yield pd.DataFrame([(*at, total.tobytes())], columns=["chunk", "salt", "n"])
+
+    form = "chunk int, salt int, n binary"
+    sums = rows.select("text").mapInPandas(count, form)
+    for salt in (F.col("salt"), F.lit(0)):
+        sums = sums.withColumn("salt", salt).repartition(parts, "chunk", "salt").sortWithinPartitions("chunk", "salt").mapInPandas(add, form)
+    seen = np.zeros(BUCKETS, np.int64)
+    for r in sums.collect():  # BUCKETS / CHUNK rows
+        seen[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.n, np.int64)
+    return (4 * np.log2(np.maximum(seen / max(1.0, seen.mean()), 1))).astype(np.uint8)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -266,11 +320,17 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Shingler(width)
+
+        def prefix(h: np.ndarray) -> np.ndarray:
+            order = np.argsort(classes[(h & _BUCKET).astype(np.int64)], kind="stable")
+            return h[order[: prefix_length(len(h), percent)]].view(np.int64)
+
         for b in batches:
             for at in range(0, len(b), 500):
-                out = [(i, len(h), node, h[: prefix_length(len(h), percent)].view(np.int64) if len(h) else None, bitmap(h).tobytes() if len(h) else None) for i, h, node in sets(b.iloc[at : at + 500], own)]
+                out = [(i, len(h), node, prefix(h) if len(h) else None, bitmap(h).tobytes() if len(h) else None) for i, h, node in sets(b.iloc[at : at + 500], own)]
                 yield pd.DataFrame(out, columns=["id", "n", "node", "prefix", "bits"])
 
+    classes = frequency_classes(rows, width)
     signed = materialise(rows.mapInPandas(sign, "id long, n int, node long, prefix array<long>, bits binary"), "signatures")
     # Python reads each text once here; equal sets go on as one node, with the smallest id that has them
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != LOWEST, F.col("id"))).alias("least"))
