@@ -4,7 +4,9 @@
 takes constant time, spans compare without their characters, and the longest common extension of two
 places is found by binary search. A fingerprint is a bottom-k sketch: the ``KEPT`` smallest mixed hashes
 among those of all spans of ``SPAN`` code points. Equal texts have equal fingerprints, and the share of the
-smallest hashes of the union that both have estimates the share of spans in common.
+smallest hashes of the union that both have estimates the share of spans in common. Next to this estimate stands
+an exact figure from extension queries: spans that both texts have are extended both ways as far as the texts
+agree, and the code points so reached are counted.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ def points(text: str) -> np.ndarray:
 class Prefix:
     def __init__(self, text: str | np.ndarray):
         c = points(text) if isinstance(text, str) else text
-        self.n, self.sums = len(c), []
+        self.n, self.sums, self._all = len(c), [], None
         for w, p in enumerate(PRIMES):
             up, _ = _POWERS.get(w, self.n + 1)
             s = np.zeros(self.n + 1, _U)
@@ -68,6 +70,13 @@ class Prefix:
             out = out << _U(31) | h
         return out
 
+    def spans(self) -> np.ndarray:
+        """Hashes of the spans of SPAN code points at every place; a shorter text is one span, an empty one none."""
+        if self._all is None:
+            at = np.arange(max(1, self.n - SPAN + 1) if self.n else 0)
+            self._all = self.span(at, np.minimum(at + SPAN, self.n))
+        return self._all
+
     def common(self, at: int, other: Prefix, there: int) -> int:
         """Length of the longest common extension from two places."""
         lo, hi = 0, min(self.n - at, other.n - there)
@@ -80,13 +89,46 @@ class Prefix:
         return lo
 
 
-def sketch(text: str | np.ndarray) -> np.ndarray:
+    def common_back(self, at: int, other: Prefix, there: int, most: int) -> int:
+        """Length, at most ``most``, of the longest common extension backwards from two places."""
+        lo, hi = 0, min(at, there, most)
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            if self.span(at - mid, at) == other.span(there - mid, there):
+                lo = mid
+            else:
+                hi = mid - 1
+        return lo
+
+
+def shared(a: Prefix, b: Prefix) -> float:
+    """Share of a's code points in passages that b has too, found from a's begin on: the next place whose span equals
+    one of b's blocks (spans at multiples of SPAN; the first of equal ones) is extended both ways and passed. So
+    every passage of 2 * SPAN - 1 code points in common is met. Of shorter texts the common begin counts; two empty
+    texts share all."""
+    if not a.n or not b.n:
+        return float(a.n == b.n)
+    if a.n < SPAN or b.n < SPAN:
+        return a.common(0, b, 0) / a.n
+    blocks, where = np.unique(b.spans()[::SPAN], return_index=True)
+    found = np.minimum(np.searchsorted(blocks, a.spans()), len(blocks) - 1)
+    places = np.flatnonzero(blocks[found] == a.spans())
+    covered, end, i = 0, 0, 0
+    while i < len(places):
+        at = int(places[i])
+        there = int(where[found[at]]) * SPAN
+        back, on = a.common_back(at, b, there, at - end), a.common(at, b, there)
+        covered, end = covered + back + on, at + on
+        i = int(np.searchsorted(places, end))
+    return covered / a.n
+
+
+def sketch(text: str | np.ndarray | Prefix) -> np.ndarray:
     """The smallest mixed span hashes, distinct and ascending; a shorter text is one span."""
-    p = Prefix(text)
+    p = text if isinstance(text, Prefix) else Prefix(text)
     if not p.n:
         return np.zeros(0, _U)
-    at = np.arange(max(1, p.n - SPAN + 1))
-    h = p.span(at, np.minimum(at + SPAN, p.n))
+    h = p.spans()
     h = (h ^ h >> _U(31)) * _U(0x9E3779B97F4A7C15)
     h = h ^ h >> _U(29)
     if len(h) > 8 * KEPT:
@@ -118,11 +160,12 @@ def edited(text: str, after: str) -> str:
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    """Per input row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next (likeness of
+    sketches), shared_edited, shared_next (share of the text's code points in passages in common).
 
     The next document is the one after it in descending doc_id (nulls last; rows that repeat an id follow
     each other by descending text); the last one's next is the first. Null text counts as empty. A single
-    document is its own next. An empty table gives no rows; other columns are ignored.
+    document is its own next. Texts of any length are taken whole. An empty table gives no rows; other columns are ignored.
 
     Rows go to ranges of ids, as many as shuffle partitions; the greatest row of each range also goes to the
     range above, whose least row needs it. No task holds more than two documents at a time.
@@ -161,24 +204,26 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # (range, id, text, sketch) of the row that waits for its next
+        held = None  # (range, id, text, sketch, prefix) of the row that waits for its next
         tailed = None
         for batch in batches:
             out = []
             for b, tail, doc, text in zip(batch["b"], batch["tail"], batch["doc_id"], batch["text"]):
                 if tail and tailed == b:
                     continue  # only the first of several rows with the range's greatest id
-                own = sketch(text)
+                prefix = Prefix(text)
+                own = sketch(prefix)
                 if held is not None and held[0] == b:
                     new = edited(held[2], text)
-                    new_sketch = sketch(new)
-                    out.append((held[1], len(held[2]), hashlib.sha256(new.encode()).hexdigest(), said(held[3]), said(new_sketch), likeness(held[3], new_sketch), likeness(held[3], own)))
+                    new_prefix = Prefix(new)
+                    new_sketch = sketch(new_prefix)
+                    out.append((held[1], len(held[2]), hashlib.sha256(new.encode()).hexdigest(), said(held[3]), said(new_sketch), likeness(held[3], new_sketch), likeness(held[3], own), shared(held[4], new_prefix), shared(held[4], prefix)))
                 tailed = b if tail else None
-                held = None if tail else (b, doc, text, own)
+                held = None if tail else (b, doc, text, own, prefix)
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "shared_edited", "shared_next"]).astype({"doc_id": "Int64"})
 
-    return dealt.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInPandas(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shared_edited double, shared_next double")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from lacuna.llm.fingerprints import Prefix, edited, fingerprint_documents, likeness, sketch
+from lacuna.llm.fingerprints import SPAN, Prefix, edited, fingerprint_documents, likeness, shared, sketch
 
 
 def test_spans_and_extensions():
@@ -18,6 +18,48 @@ def test_spans_and_extensions():
         assert p.common(a, p, b) == k
 
 
+def plain_shared(a, b):
+    """Greedy passages in common, by comparing characters."""
+    if not a or not b:
+        return float(a == b)
+    common = lambda i, j: next((k for k in range(min(len(a) - i, len(b) - j)) if a[i + k] != b[j + k]), min(len(a) - i, len(b) - j))
+    if len(a) < SPAN or len(b) < SPAN:
+        return common(0, 0) / len(a)
+    blocks = {}
+    for j in range(0, len(b) - SPAN + 1, SPAN):
+        blocks.setdefault(b[j : j + SPAN], j)
+    covered = end = at = 0
+    while at <= len(a) - SPAN:
+        j = blocks.get(a[at : at + SPAN])
+        if j is None:
+            at += 1
+            continue
+        back = 0
+        while back < min(at - end, j) and a[at - back - 1] == b[j - back - 1]:
+            back += 1
+        on = common(at, j)
+        covered, end = covered + back + on, at + on
+        at = end
+    return covered / len(a)
+
+
+def plain_likeness(a, b):
+    cut = lambda t: {t[i : i + SPAN] for i in range(max(1, len(t) - SPAN + 1))} if t else set()
+    x, y = cut(a), cut(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_shared_passages_and_likeness_against_plain_comparison():
+    rng = random.Random(5)
+    bits = ["".join(rng.choice("abcdeé🙂 ") for _ in range(rng.randint(1, 90))) for _ in range(12)] + ["ab" * 30, ""]
+    for _ in range(300):
+        a, b = ("".join(rng.choice(bits) for _ in range(rng.randint(0, 6))) for _ in range(2))
+        assert shared(Prefix(a), Prefix(b)) == plain_shared(a, b)
+        assert abs(likeness(sketch(a), sketch(b)) - plain_likeness(a, b)) < 0.25
+    a, b = ("".join(rng.choice("abcd") for _ in range(60_000)) for _ in range(2))
+    assert shared(Prefix(a), Prefix(b + a[:40_000])) > 0.66 and shared(Prefix(a), Prefix(a)) == 1.0
+
+
 def test_against_brute_force(spark):
     rng = random.Random(4)
     docs = [(i * 3, "".join(rng.choice("abcdefé ") for _ in range(rng.randint(0, 400)))) for i in range(150)]
@@ -29,6 +71,7 @@ def test_against_brute_force(spark):
         t, after = t or "", order[(i + 1) % len(order)][1] or ""
         new = edited(t, after)
         assert got[d].n_chars == len(t) and got[d].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert got[d].shared_edited == plain_shared(t, new) and got[d].shared_next == plain_shared(t, after)
         assert got[d].near_edited == likeness(sketch(t), sketch(new)) and got[d].near_next == likeness(sketch(t), sketch(after))
     assert got[7].fingerprint == got[9].fingerprint
 
