@@ -13,7 +13,7 @@ treated alike wherever they stand:
 Anchor suffixes are range-partitioned by their leading bytes with splitters from a sample. A range holds all
 suffixes that begin with a gram, so no group of equal windows crosses a boundary. The earliest of each
 distinct context that shares its gram with another context fetches its bytes; its windows are sorted by
-multikey quicksort, eight bytes at a time, dropping windows as soon as they stand alone.
+three-way multikey quicksort, eight bytes at a time, dropping windows as soon as they stand alone.
 
 Grams and contexts are identified by 64 bits each (128 together); windows are compared byte for byte.
 """
@@ -109,26 +109,53 @@ def anchors(ids: np.ndarray, reps: np.ndarray, texts: list[bytes]) -> Iterator[d
         }
 
 
-def multikey_order(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Stable multikey quicksort by columns: at each column only rows that still share their group with
-    another are sorted on. Returns the rows that are equal to another in all columns, and their groups."""
-    rows = np.arange(len(keys[0]))
-    label = np.zeros(len(rows), np.int64)
-    for key in keys:
+def multikey_order(group: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stable multikey quicksort of the rows of groups (ascending numbers) by columns keys[depth, row].
+
+    Each group is split three ways at the key of its middle row; the smaller and the larger rows stay at their
+    column, the equal ones go on to the next. All groups take a step together; a row that stands alone is done.
+    Returns the rows that are equal to another in all columns, and their groups."""
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    rows, named = np.arange(len(group)), 0
+    bounds = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(bounds, len(rows)))
+    depth = np.zeros(len(sizes), np.int64)
+    while True:
+        # groups of one are done; those past the last column are equal throughout
+        equal, go = (sizes > 1) & (depth == len(keys)), (sizes > 1) & (depth < len(keys))
+        if equal.any():
+            done.append((rows[np.repeat(equal, sizes)], np.repeat(np.arange(named, named + equal.sum()), sizes[equal])))
+            named += int(equal.sum())
+        rows = rows[np.repeat(go, sizes)]
+        sizes, depth = sizes[go], depth[go]
         if not len(rows):
             break
-        order = np.lexsort((key[rows], label))
-        rows, label = rows[order], label[order]
-        k = key[rows]
-        new = np.concatenate([[True], (label[1:] != label[:-1]) | (k[1:] != k[:-1])])
-        label = np.cumsum(new)
-        alone = new & np.concatenate([new[1:], [True]])
-        rows, label = rows[~alone], label[~alone]
-    return rows, label
+        begin = np.cumsum(sizes) - sizes
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        key = keys[depth[of], rows]
+        pivot = key[begin + sizes // 2][of]
+        side = (key >= pivot).astype(np.int64) + (key > pivot)
+        third = of * 3 + side
+        sizes = np.bincount(third, minlength=3 * len(depth))
+        offset = np.cumsum(sizes) - sizes
+        place = np.empty(len(rows), np.int64)
+        for s in range(3):
+            its = np.flatnonzero(side == s)
+            # rows of one side keep their order, so their places run on from the offset of their third
+            t = third[its]
+            rank = np.arange(len(its)) - np.searchsorted(t, t)
+            place[its] = offset[t] + rank
+        moved = np.empty_like(rows)
+        moved[place] = rows
+        rows = moved
+        depth = (depth[:, None] + np.array([0, 1, 0])).ravel()
+    if not done:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([r for r, _ in done]), np.concatenate([g for _, g in done])
 
 
 def repeated_windows(gram: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts that occur earlier: (row, first, last). Rows are ordered by document and place,
+    """Runs of window starts that occur earlier: (row, first, last). Rows are ordered by gram, document and place,
     each with the bytes [lo, hi + WINDOW)."""
     counts = hi - lo + 1
     row = np.repeat(np.arange(len(lo)), counts)
@@ -137,8 +164,11 @@ def repeated_windows(gram: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.nd
     data = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
     begin = (np.cumsum(sizes) - sizes)[row] + step
     words = _words(data, len(data) - 8)
-    keys = [gram[row], (at - lo)[row] - step, *[words[begin + j].byteswap() for j in (*range(0, WINDOW - 8, 8), WINDOW - 8)]]
-    rows, label = multikey_order(keys)
+    keys = np.empty((len(range(0, WINDOW - 8, 8)) + 2, len(row)), _U)
+    keys[0] = (at - lo)[row] - step
+    for i, j in enumerate((*range(0, WINDOW - 8, 8), WINDOW - 8)):
+        keys[i + 1] = words[begin + j].byteswap()
+    rows, label = multikey_order(gram[row], keys)
     later = rows[np.concatenate([[False], label[1:] == label[:-1]])] if len(rows) else rows
     later = np.sort(later)
     if not len(later):

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from lacuna.llm.suffix_dedup import WINDOW, remove_repeats
+from lacuna.llm.suffix_dedup import WINDOW, multikey_order, remove_repeats
 
 
 def brute(docs):
@@ -54,3 +55,17 @@ def test_pieces_of_long_texts_meet(spark):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_multikey_quicksort_against_plain_grouping():
+    rng = np.random.default_rng(8)
+    for n, wide in ((0, 3), (1, 3), (500, 2), (2_000, 5), (2_000, 1)):
+        group, keys = np.sort(rng.integers(0, 4, n)), rng.integers(0, 4, (wide, n)).astype(np.uint64)
+        rows, label = multikey_order(group, keys)
+        want = {}
+        for r in range(n):
+            want.setdefault((group[r], *keys[:, r]), []).append(r)
+        got = {}
+        for r, g in zip(rows.tolist(), label.tolist()):
+            got.setdefault(g, []).append(r)
+        assert sorted(got.values()) == sorted(v for v in want.values() if len(v) > 1)
