@@ -77,24 +77,47 @@ class Prefix:
             self._all = self.span(at, np.minimum(at + SPAN, self.n))
         return self._all
 
+    @classmethod
+    def joined(cls, a: Prefix, cut: int, b: Prefix, size: int) -> Prefix:
+        """Of a's first ``cut`` code points followed by b's first ``size``: sums move by a power of the base, spans
+        within either side are known, and only those across the seam are worked out."""
+        p = cls.__new__(cls)
+        p.n, p.sums, p._all = cut + size, [], None
+        for w, prime in enumerate(PRIMES):
+            up, _ = _POWERS.get(w, p.n + 1)
+            tail = (b.sums[w][1 : size + 1] * up[cut] % _U(prime) + a.sums[w][cut]) % _U(prime)
+            p.sums.append(np.concatenate([a.sums[w][: cut + 1], tail]))
+        if p.n >= SPAN:
+            own, last = max(0, cut - SPAN + 1), max(0, size - SPAN + 1)
+            seam = np.arange(own, p.n - SPAN + 1 - last)
+            p._all = np.concatenate([a.spans()[:own], p.span(seam, seam + SPAN), b.spans()[:last]])
+        return p
+
+    def same(self, at: int, other: Prefix, there: int, size: int) -> bool:
+        """Whether two spans have equal hashes."""
+        for w, p in enumerate(PRIMES):
+            x, y, down = self.sums[w], other.sums[w], _POWERS.down[w]
+            if ((x.item(at + size) - x.item(at)) * down.item(at) - (y.item(there + size) - y.item(there)) * down.item(there)) % p:
+                return False
+        return True
+
     def common(self, at: int, other: Prefix, there: int) -> int:
         """Length of the longest common extension from two places."""
         lo, hi = 0, min(self.n - at, other.n - there)
         while lo < hi:
             mid = (lo + hi + 1) // 2
-            if self.span(at, at + mid) == other.span(there, there + mid):
+            if self.same(at, other, there, mid):
                 lo = mid
             else:
                 hi = mid - 1
         return lo
 
-
     def common_back(self, at: int, other: Prefix, there: int, most: int) -> int:
         """Length, at most ``most``, of the longest common extension backwards from two places."""
         lo, hi = 0, min(at, there, most)
         while lo < hi:
             mid = (lo + hi + 1) // 2
-            if self.span(at - mid, at) == other.span(there - mid, there):
+            if self.same(at - mid, other, there - mid, mid):
                 lo = mid
             else:
                 hi = mid - 1
@@ -215,7 +238,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 own = sketch(prefix)
                 if held is not None and held[0] == b:
                     new = edited(held[2], text)
-                    new_prefix = Prefix(new)
+                    cut = len(held[2]) - len(held[2]) // 3
+                    new_prefix = Prefix.joined(held[4], cut, prefix, len(new) - cut)
                     new_sketch = sketch(new_prefix)
                     out.append((held[1], len(held[2]), hashlib.sha256(new.encode()).hexdigest(), said(held[3]), said(new_sketch), likeness(held[3], new_sketch), likeness(held[3], own), shared(held[4], new_prefix), shared(held[4], prefix)))
                 tailed = b if tail else None

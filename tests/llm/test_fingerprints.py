@@ -43,6 +43,15 @@ def plain_shared(a, b):
     return covered / len(a)
 
 
+def test_joined_prefixes_equal_those_of_the_joined_text():
+    rng = random.Random(6)
+    for _ in range(400):
+        a, b = ("".join(rng.choice("abé🙂") for _ in range(rng.randint(0, 60))) for _ in range(2))
+        cut, size = rng.randint(0, len(a)), rng.randint(0, len(b))
+        p, q = Prefix.joined(Prefix(a), cut, Prefix(b), size), Prefix(a[:cut] + b[:size])
+        assert p.n == q.n and p.spans().tolist() == q.spans().tolist() and all((x == y).all() for x, y in zip(p.sums, q.sums))
+
+
 def plain_likeness(a, b):
     cut = lambda t: {t[i : i + SPAN] for i in range(max(1, len(t) - SPAN + 1))} if t else set()
     x, y = cut(a), cut(b)
