@@ -4,9 +4,11 @@
    class key of the whole set (equal sets are one class from here on) and the prefix of its hashes, rare
    ones first: a pass before it counts all shingles in a table of fixed size, whose classes and then the
    hashes themselves are the order. Two sets of the asked similarity share a hash within their prefixes, so these deal the
-   classes out to blocks. Members whose size fits no other's leave a block, and blocks of two go if too few
-   hashes follow the shared one. Blocks with the same members are one; hot blocks are cut into size bands
-   and a grid of cells in which every two members still meet.
+   classes out to blocks. Only hashes that a table of bits may hold, made of those in two prefixes or more, are dealt.
+   Two sets of like size share many hashes within their prefixes, not only one: a member leaves a small block if no
+   other there has a fitting size and both have as many hashes in blocks as the pair would have to share. Blocks of
+   two go if too few hashes follow the shared one. Blocks with the same members are one; hot blocks are cut into size
+   bands and a grid of cells in which every two members still meet.
 2. In a block, signature trees (one per signature length) hold in each node the OR of its members'
    bitmaps, the range of their sizes and their largest slack (hashes less bits). A dual traversal drops
    pairs of nodes whose largest possible overlap is below what their sizes ask for.
@@ -30,7 +32,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, discard, materialise, partitions, release, table
@@ -44,6 +46,8 @@ LOWEST = -(1 << 63)
 CARRIED = 8
 #: Blocks of at most so many members are traversed whole in the first round and not again in the second.
 SMALL = 2
+#: In blocks of at most so many members each is compared with each other by size and number of hashes.
+FEW = 256
 #: The partners of a leader are verified in so many parts, each of which gets the leader's set.
 SALTS = 16
 #: So many partners of a document go with one copy of its text.
@@ -132,6 +136,39 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def least_shared(a: Column, b: Column, percent: int) -> Column:
+    """So many hashes are in the prefixes of both of two sets of these sizes, if they link. The prefix that ends first
+    holds all that it shares with the other set within the other's prefix, and lacks what the sets do not share."""
+    whole = F.ceil(F.lit(percent) * (a + b) / F.lit(100 + percent))
+    return whole - F.ceil(F.lit(percent) * F.greatest(a, b) / F.lit(100)) + 1
+
+
+#: Bits of the largest table of shared hashes, in chunks.
+MOST_BITS, BITS_CHUNK = 1 << 28, 1 << 15
+
+
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """Bytes of a table in which the bit of each key is set: 16 to 32 bits a key, MOST_BITS at most; the keys are
+    hashes already. The executors gather the bits of each chunk."""
+    size = min(MOST_BITS, max(BITS_CHUNK, 1 << (16 * max(1, keys.count()) - 1).bit_length()))
+    at = F.col("key").bitwiseAND(F.lit(size - 1))
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for chunk, bits in zip(b["chunk"], b["bits"]):
+                own = np.zeros(BITS_CHUNK, np.uint8)
+                own[np.asarray(bits, np.int64)] = 1
+                out.append((chunk, np.packbits(own, bitorder="little").tobytes()))
+            yield pd.DataFrame(out, columns=["chunk", "bits"])
+
+    bits = keys.select(F.shiftright(at, BITS_CHUNK.bit_length() - 1).cast("int").alias("chunk"), at.bitwiseAND(F.lit(BITS_CHUNK - 1)).cast("int").alias("bit"))
+    table = np.zeros(size // 8, np.uint8)
+    for r in bits.groupBy("chunk").agg(F.collect_list("bit").alias("bits")).mapInPandas(gather, "chunk int, bits binary").toLocalIterator():
+        table[r.chunk * BITS_CHUNK // 8 : (r.chunk + 1) * BITS_CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
+    return table
+
+
 def bitmap(hashes: np.ndarray) -> np.ndarray:
     """4 to 8 bits for each hash; shorter signatures are folded longer ones."""
     m = 64 << max(0, (4 * len(hashes) - 1).bit_length() - 6)
@@ -336,14 +373,42 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != LOWEST, F.col("id"))).alias("least"))
     nodes = materialise(nodes, "nodes")
     light = materialise(signed.select("id", "n", "node"), "sizes")
-    one = signed.join(bounded(nodes.select("node", "id")), ["node", "id"])
+    # rows whose set another row has, too, with a smaller id
+    repeated = light.where("n > 0").join(nodes.select("node", F.col("id").alias("least_id")), "node").where("id != least_id").select("node", "id").distinct()
+    repeated = materialise(repeated, "repeated")
+    one = signed.where("n > 0").join(bounded(repeated), ["node", "id"], "left_anti")
     if light.where("n > 0").groupBy("node", "id").count().where("count > 1").limit(1).count():
         one = one.dropDuplicates(["node"])  # rows that repeat id and text
     one = materialise(one.select("node", "n", "prefix", "bits"), "classes")
     discard(signed)
+    discard(repeated)
     release(spark)
 
-    entries = one.select("node", "n", F.posexplode("prefix").alias("pos", "key")).select("key", "node", "n", (F.col("n") - F.col("pos")).alias("rest"))
+    # most hashes are in one prefix alone: these are told from a count, and go no further
+    shared = materialise(one.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
+    table_ = spark.sparkContext.broadcast(bit_table(shared))
+    most = min(FEW, hot)
+    large = materialise(shared.where(F.col("members") > most), "large")
+    discard(shared)
+    release(spark)
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows of the hashes in the table; ``t``: how many the set has."""
+        bits = table_.value
+        for b in batches:
+            for begin in range(0, len(b), 500):
+                some = b.iloc[begin : begin + 500]
+                n, node = some["n"].to_numpy(np.int64), some["node"].to_numpy()
+                sizes = np.array([len(x) for x in some["prefix"]], np.int64)
+                key = np.concatenate(some["prefix"].tolist()).astype(np.int64)
+                pos = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                at = key & (len(bits) * 8 - 1)
+                keep = np.flatnonzero(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                row = np.repeat(np.arange(len(some)), sizes)[keep]
+                yield pd.DataFrame({"key": key[keep], "node": node[row], "n": n[row], "rest": n[row] - pos[keep], "t": np.bincount(row, minlength=len(some))[row]})
+
+    entries = materialise(one.select("node", "n", "prefix").mapInPandas(dealt, "key long, node long, n int, rest int, t int"), "dealt")
+    table_.destroy()
 
     def fitting(rows: DataFrame) -> DataFrame:
         """Keys of two members or more. Of two, their sizes must fit, and so must the overlap that is left from
@@ -352,28 +417,29 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         fits = (100 * F.col("lo") >= percent * F.col("hi")) & ((100 + percent) * F.col("rest") >= percent * F.col("both"))
         return told.where((F.col("members") > 2) | ((F.col("members") == 2) & fits)).select("key", "members", "who")
 
-    blocks = materialise(fitting(entries).select("key", "members"), "blocks")
-    release(spark)
-    met = entries.join(bounded(blocks), "key")
     # a member whose size fits no other's leaves the block; it must differ from its neighbours in order of size too
     by_size = Window.partitionBy("key").orderBy("n")
     below, above = F.lag("n").over(by_size), F.lead("n").over(by_size)
-    near = met.where(F.col("members").between(3, hot)).withColumn("fits", (100 * below >= percent * F.col("n")) | (100 * F.col("n") >= percent * above)).where("fits").drop("fits")
-    near = materialise(near.unionByName(met.where(~F.col("members").between(3, hot))).drop("members"), "near")
-    discard(blocks)
+    met = entries.join(bounded(large), "key")
+    near = met.where(F.col("members") <= hot).withColumn("fits", (100 * below >= percent * F.col("n")) | (100 * F.col("n") >= percent * above)).where("fits").drop("fits")
+    pair = lambda x, y: (x["node"] != y["node"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])) & (least_shared(x["n"], y["n"], percent) <= F.least(x["t"], y["t"]))
+    few = entries.join(bounded(large), "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("node", "n", "rest", "t")).alias("all")).where(F.size("all") > 1)
+    few = few.select("key", F.inline(F.filter("all", lambda x: F.exists("all", lambda y: pair(x, y)))))
+    near = materialise(near.unionByName(met.where(F.col("members") > hot)).drop("members").unionByName(few).drop("t"), "near")
+    discard(large)
+    discard(entries)
     release(spark)
     # blocks of the same members are one
     blocks = fitting(near).groupBy("members", "who").agg(F.min("key").alias("key")).select("key", "members")
     blocks = materialise(blocks, "blocks")
     release(spark)
-    member = entries_of = materialise(near.select("key", "node").join(bounded(blocks), "key"), "entries")
+    member = entries_of = materialise(near.select("key", "node", "n").join(bounded(blocks), "key"), "entries")
     discard(blocks)
     discard(near)
     release(spark)
     rank = F.row_number().over(Window.partitionBy("node").orderBy("key"))
     carried = member.withColumn("r", rank).where(F.col("r") <= CARRIED).groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    carried = materialise(one.select("node", "n", F.col("prefix")[0].alias("low"), "bits").join(carried, "node"), "carried")
-    member = member.join(one.select("node", "n"), "node")
+    carried = materialise(one.select("node", "n", F.col("prefix")[0].alias("low"), "bits").join(bounded(materialise(carried, "carried")), "node"), "carried")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-float(np.log(percent / 100)) * 1.0001))
     grid = F.ceil(F.col("members") / F.lit(hot)).cast("int")
     part = F.pmod(F.xxhash64("node"), grid).cast("int")

@@ -78,3 +78,44 @@ def test_pairs_are_held_back_only_where_a_smaller_key_is_shared():
     for key in (-41, -3, 0, 17, 40):
         want = [not any(k < key for k in set(keys[a].tolist()) & set(keys[b].tolist())) for a, b in zip(i, j)]
         assert not_earlier(key, keys, i, j).tolist() == want
+
+
+def test_least_shared_is_a_bound(spark):
+    from lacuna.llm.ngram_join import least_shared, prefix_length
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(3), []
+    for percent in (80, 85):
+        for _ in range(400):
+            both = rng.sample(range(10_000), rng.randint(1, 300))
+            at = rng.randint(0, max(1, len(both) // 6))
+            x, y = sorted(both[at:] or both), sorted(both[: len(both) - rng.randint(0, max(1, len(both) // 6))] or both)
+            k = len(set(x) & set(y))
+            if 100 * k >= percent * (len(x) + len(y) - k):
+                rows.append((len(x), len(y), percent, len(set(x[: prefix_length(len(x), percent)]) & set(y[: prefix_length(len(y), percent)]))))
+    df = spark.createDataFrame(rows, "a int, b int, percent int, met int")
+    got = [r for p in (80, 85) for r in df.where(F.col("percent") == p).withColumn("least", least_shared(F.col("a"), F.col("b"), p)).collect()]
+    assert len(got) == len(rows) > 200 and all(1 <= r.least <= r.met for r in got)
+    assert any(r.least == r.met > 3 for r in got)
+
+
+def test_chance_meetings_are_not_searched(spark, monkeypatch):
+    from lacuna.llm import ngram_join
+
+    rng, seen = random.Random(4), {}
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(40):  # pairs that share one passage of eight words, and no more
+        rows += [(2 * k, (p := text(8)) + " " + text(200)), (2 * k + 1, text(200) + " " + p)]
+    rows += [(100, t := text(200)), (101, t + " end")]
+    written = ngram_join.materialise
+
+    def watched(df, tag):
+        out = written(df, tag)
+        seen.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialise", watched)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [*((i, i) for i in range(80)), (100, 100), (101, 100)]
+    assert seen["members"] == [2] and seen["dealt"][0] >= 2
