@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_names, table
+from .common import free_names, give_back, lean, small_batches, table
 
 DIMS = 1 << 13
 _LETTER = regex.compile(r"\p{L}")
@@ -107,6 +107,7 @@ def train(docs: DataFrame, usable: Column, sample: int = 250, text_col: str = "t
 
     A threshold on the hash leaves about twice as many rows before they are ordered. Grams are counted by the
     executors, so that no text is sent to the driver."""
+    small_batches(docs.sparkSession)
     h, space = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40)), 1 << 40
     good = docs.where(usable & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     good = good.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("g"), h.alias("h"))
@@ -135,11 +136,11 @@ def train(docs: DataFrame, usable: Column, sample: int = 250, text_col: str = "t
                 yield pd.DataFrame({"g": [g for (g, _), _ in found], "h": [h for (_, h), _ in found], "at": [np.flatnonzero(c).astype(np.int32) for _, c in found], "n": [c[c > 0].astype(np.int32) for _, c in found]})
 
     having = np.zeros(DIMS + 1, np.int64)
-    for r in good.select("t").mapInPandas(partial, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in good.select("t").mapInPandas(lean(partial), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         having[r.gram + 1] = r.n
     few = good.join(F.broadcast(below), "g").where("h <= below")
     few = few.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy("h"))).where(F.col("r") <= sample)
-    rows = few.select("t", "g", "h").mapInPandas(sparse, "g string, h long, at array<int>, n array<int>").toPandas().sort_values(["g", "h"])
+    rows = few.select("t", "g", "h").mapInPandas(lean(sparse), "g string, h long, at array<int>, n array<int>").toPandas().sort_values(["g", "h"])
     raw = np.zeros((len(rows), DIMS), np.float32)
     for i, (at, n) in enumerate(zip(rows["at"], rows["n"])):
         raw[i, np.asarray(at)] = n
@@ -153,6 +154,7 @@ def predict(docs: DataFrame, model: Centroids, text_col: str = "text", chunk: in
     equally near centroids the first by language wins; repeated rows are predicted alike; texts are read whole;
     an empty table gives no rows. Where docs has a column of these names, that of the result gets an underscore
     more; the three are always the last."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -161,6 +163,7 @@ def predict(docs: DataFrame, model: Centroids, text_col: str = "text", chunk: in
             texts = b.tolist()
             rows = [r for i in range(0, len(texts), chunk) for r in shared.value.predict(texts[i : i + chunk])]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
+        give_back()
 
     names = free_names(["lang_pred", "score", "rejected"], docs.columns)
     held = free_names(["__lang"], docs.columns)[0]

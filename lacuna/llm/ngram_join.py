@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, discard, materialise, partitions, release, table
+from .common import bounded, discard, lean, materialise, partitions, release, small_batches, table
 
 _U = np.uint64
 _WORD = re.compile(rb"[^ \t-\r]+").findall
@@ -122,9 +122,9 @@ def frequency_classes(rows: DataFrame, width: int) -> np.ndarray:
             yield pd.DataFrame([(*at, total.tobytes())], columns=["chunk", "salt", "n"])
 
     form = "chunk int, salt int, n binary"
-    sums = rows.select("text").mapInPandas(count, form)
+    sums = rows.select("text").mapInPandas(lean(count), form)
     for salt in (F.col("salt"), F.lit(0)):
-        sums = sums.withColumn("salt", salt).repartition(parts, "chunk", "salt").sortWithinPartitions("chunk", "salt").mapInPandas(add, form)
+        sums = sums.withColumn("salt", salt).repartition(parts, "chunk", "salt").sortWithinPartitions("chunk", "salt").mapInPandas(lean(add), form)
     seen = np.zeros(BUCKETS, np.int64)
     for r in sums.collect():  # BUCKETS / CHUNK rows
         seen[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.n, np.int64)
@@ -347,6 +347,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
     are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     parts = partitions(spark)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LOWEST)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -368,7 +369,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
                 yield pd.DataFrame(out, columns=["id", "n", "node", "prefix", "bits"])
 
     classes = frequency_classes(rows, width)
-    signed = materialise(rows.mapInPandas(sign, "id long, n int, node long, prefix array<long>, bits binary"), "signatures")
+    signed = materialise(rows.mapInPandas(lean(sign), "id long, n int, node long, prefix array<long>, bits binary"), "signatures")
     # Python reads each text once here; equal sets go on as one node, with the smallest id that has them
     nodes = signed.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min(F.when(F.col("id") != LOWEST, F.col("id"))).alias("least"))
     nodes = materialise(nodes, "nodes")
@@ -407,7 +408,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
                 row = np.repeat(np.arange(len(some)), sizes)[keep]
                 yield pd.DataFrame({"key": key[keep], "node": node[row], "n": n[row], "rest": n[row] - pos[keep], "t": np.bincount(row, minlength=len(some))[row]})
 
-    entries = materialise(one.select("node", "n", "prefix").mapInPandas(dealt, "key long, node long, n int, rest int, t int"), "dealt")
+    entries = materialise(one.select("node", "n", "prefix").mapInPandas(lean(dealt), "key long, node long, n int, rest int, t int"), "dealt")
     table_.destroy()
 
     def fitting(rows: DataFrame) -> DataFrame:
@@ -509,7 +510,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
         full = mine.join(carried, "node")
         # dealt by a hash of the block: a plain repartition by block is optimised away above a join on block, and
         # adaptive plans may then deal a block's rows to several tasks
-        return full.repartition(parts, F.xxhash64("block")).sortWithinPartitions("block", "node").mapInPandas(search, "a long, b long").distinct()
+        return full.repartition(parts, F.xxhash64("block")).sortWithinPartitions("block", "node").mapInPandas(lean(search), "a long, b long").distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link. The set of a pair's first goes, once for many, to where its partners' sets go;
@@ -536,7 +537,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
                     if out:
                         yield pd.DataFrame(out, columns=["g", "salt", "partner", "node", "hashes"])
 
-        met = texts.mapInPandas(again, "g long, salt int, partner boolean, node long, hashes binary")
+        met = texts.mapInPandas(lean(again), "g long, salt int, partner boolean, node long, hashes binary")
         met = met.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", "partner", "node")
 
         def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -554,7 +555,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, id_co
                 if keep:
                     yield pd.DataFrame(keep, columns=["a", "b"])
 
-        out = materialise(met.mapInPandas(check, "a long, b long"), "links")
+        out = materialise(met.mapInPandas(lean(check), "a long, b long"), "links")
         discard(role)
         release(spark)
         return out

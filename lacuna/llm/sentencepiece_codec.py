@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, small_batches, table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -219,6 +219,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
     other columns are ignored; an empty table gives no rows. A text is never cut, however long.
     """
     path = model or default_model()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(path)
@@ -236,7 +237,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, with_ids: bool =
                 begin = end
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string" + ", ids array<int>, begins array<long>, ends array<long>" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(lean(run), schema)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
