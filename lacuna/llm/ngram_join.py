@@ -106,7 +106,7 @@ def frequency_classes(rows: DataFrame, width: int) -> np.ndarray:
                     held, size = [], 0
             if size:
                 seen += np.bincount((np.concatenate(held) & _BUCKET).astype(np.int64), minlength=BUCKETS)
-        salt = TaskContext.get().partitionId() % 64
+        salt = TaskContext.get().partitionId() % 8
         yield pd.DataFrame([(i // CHUNK, salt, seen[i : i + CHUNK].tobytes()) for i in range(0, BUCKETS, CHUNK) if seen[i : i + CHUNK].any()], columns=["chunk", "salt", "n"])
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
