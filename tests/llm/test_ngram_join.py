@@ -93,6 +93,10 @@ def test_least_shared_is_a_bound(spark):
             k = len(set(x) & set(y))
             if 100 * k >= percent * (len(x) + len(y) - k):
                 rows.append((len(x), len(y), percent, len(set(x[: prefix_length(len(x), percent)]) & set(y[: prefix_length(len(y), percent)]))))
+    for percent, d in ((80, 11), (85, 8)):  # all that one lacks comes first, all that the other lacks comes last
+        core = list(range(1000, 1100 - d))
+        x, y = list(range(d)) + core, core + list(range(5000, 5000 + d))
+        rows.append((100, 100, percent, len(set(x[: prefix_length(100, percent)]) & set(y[: prefix_length(100, percent)]))))
     df = spark.createDataFrame(rows, "a int, b int, percent int, met int")
     got = [r for p in (80, 85) for r in df.where(F.col("percent") == p).withColumn("least", least_shared(F.col("a"), F.col("b"), p)).collect()]
     assert len(got) == len(rows) > 200 and all(1 <= r.least <= r.met for r in got)
